@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from millrace.llm.decontaminate import op4_benchmark_decontamination
 from millrace.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
