@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from millrace.llm.decontaminate import op4_benchmark_decontamination
+from millrace.llm.licenses import op7_license_scan
 from millrace.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op7_license_scan": op7_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
