@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from millrace.llm.chat import op9_chat_formatting
 from millrace.llm.decontaminate import op4_benchmark_decontamination
 from millrace.llm.licenses import op7_license_scan
+from millrace.llm.sharding import op6_sharding
 from millrace.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_sharding": op6_sharding,
     "op7_license_scan": op7_license_scan,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {}
