@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes of text that one vectorised step works on (a single longer text is one step)
 SLICE_BYTES = 1 << 20
+SLICE_ROWS = (1 << 16) - 1
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +65,11 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `most` bytes, or of one row."""
+    """Row ranges of at most `most` bytes, or of one row, and of SLICE_ROWS rows."""
     n, at = len(offsets) - 1, 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1
-        to = min(n, max(to, at + 1))
+        to = min(n, max(to, at + 1), at + SLICE_ROWS)
         yield at, to
         at = to
 

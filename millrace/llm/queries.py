@@ -5,15 +5,19 @@ from __future__ import annotations
 from millrace.llm.chat import op9_chat_formatting
 from millrace.llm.decontaminate import op4_benchmark_decontamination
 from millrace.llm.licenses import op7_license_scan
+from millrace.llm.quality import op10_quality_classifier
 from millrace.llm.sharding import op6_sharding
 from millrace.llm.simhash import op1_simhash_near_dedup
+from millrace.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_sharding": op6_sharding,
     "op7_license_scan": op7_license_scan,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
