@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm.bpe import op5_bpe_encoding
 from millrace.llm.chat import op9_chat_formatting
 from millrace.llm.decontaminate import op4_benchmark_decontamination
 from millrace.llm.licenses import op7_license_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_bpe_encoding": op5_bpe_encoding,
     "op6_sharding": op6_sharding,
     "op7_license_scan": op7_license_scan,
     "op9_chat_formatting": op9_chat_formatting,
