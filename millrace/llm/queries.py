@@ -7,6 +7,7 @@ from millrace.llm.chat import op9_chat_formatting
 from millrace.llm.decontaminate import op4_benchmark_decontamination
 from millrace.llm.licenses import op7_license_scan
 from millrace.llm.quality import op10_quality_classifier
+from millrace.llm.repeats import op8_suffix_array_dedup
 from millrace.llm.sharding import op6_sharding
 from millrace.llm.simhash import op1_simhash_near_dedup
 from millrace.llm.toxicity import op2_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_bpe_encoding": op5_bpe_encoding,
     "op6_sharding": op6_sharding,
     "op7_license_scan": op7_license_scan,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality_classifier": op10_quality_classifier,
 }
