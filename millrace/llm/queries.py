@@ -6,6 +6,7 @@ from millrace.llm.bpe import op5_bpe_encoding
 from millrace.llm.chat import op9_chat_formatting
 from millrace.llm.decontaminate import op4_benchmark_decontamination
 from millrace.llm.licenses import op7_license_scan
+from millrace.llm.piecewise import op3_document_fingerprints
 from millrace.llm.quality import op10_quality_classifier
 from millrace.llm.repeats import op8_suffix_array_dedup
 from millrace.llm.sharding import op6_sharding
@@ -15,6 +16,7 @@ from millrace.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_bpe_encoding": op5_bpe_encoding,
     "op6_sharding": op6_sharding,
