@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from millrace.llm import oracles
 from millrace.llm.bpe import op5_bpe_encoding
 from millrace.llm.chat import op9_chat_formatting
 from millrace.llm.decontaminate import op4_benchmark_decontamination
@@ -26,4 +27,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_benchmark_decontamination": oracles.OP4,
+    "op9_chat_formatting": oracles.OP9,
+}
