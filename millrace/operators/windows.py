@@ -2,8 +2,8 @@
 
 `trailing_features` states each feature over one window per card; all frames share one exchange
 and sort.  `trailing_features_balanced` is for cards with very many events: Spark evaluates a
-sliding range frame again for each row, so it is rewritten to running sums over arrivals and
-expiries, and to running maxima in blocks of the window's length.  `arrival_features` is the
+sliding range frame again for each row, so it is rewritten to running aggregates in blocks of the
+window's length.  `arrival_features` is the
 policy under which an event sees earlier ties.
 """
 
@@ -62,54 +62,50 @@ def trailing_features(events: DataFrame, entity: str = "card_id", ts: str = "eve
 
 
 def trailing_features_balanced(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", amount: str = "amount", product: str = "product_cd", key: str = "transaction_id") -> DataFrame:
-    """The same columns in time n log n for any number of events of a card.
+    """The same columns in time n log n for any number of events of a card, and with a card dealt over many tasks.
 
-    Each event is an arrival at s, one expiry per window at s + W, and a question at t; in the
-    order expiry, question, arrival at equal instants, running sums hold what lies in (t - W, t)."""
+    Time is cut into blocks as long as the window.  (t - W, t) is then what lies after t - W in the
+    block before t's and what lies before t in t's own, so two running aggregates by card and block
+    give it.  What lies in all earlier blocks comes from one row per card and block."""
     require(events, entity, ts, amount, product, key)
-    base = events.select(F.col(key).alias("_id"), F.col(entity).alias("_card"), seconds(ts).alias("_u"), units(amount).alias("_units"), F.col(amount).alias("_amount"), known_product(F.col(product)).alias("_code"))
-    names = [f"n_{w}" for w in WINDOWS] + [f"s_{w}" for w in WINDOWS] + [f"p_{p}" for p in PRODUCTS]
-
-    def steps(sign: int, windows: tuple[str, ...], at: Column, kind: int) -> Column:
-        own = {f"n_{w}": F.lit(sign if w in windows else 0) for w in WINDOWS} | {f"s_{w}": F.col("_units") * (sign if w in windows else 0) for w in WINDOWS}
-        own |= {f"p_{p}": (F.col("_code") == p).cast("long") * (sign if "7d" in windows else 0) for p in PRODUCTS}
-        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), *[own[n].cast("long").alias(n) for n in names], (F.col("_u") if kind == 2 else F.lit(None).cast("long")).alias("seen"), F.lit(1 if kind == 2 else 0).cast("long").alias("born"))
-
-    moves = F.array(*[steps(-1, (w,), F.col("_u") + n, 0) for w, n in WINDOWS.items()], steps(0, (), F.col("_u"), 1), steps(1, tuple(WINDOWS), F.col("_u"), 2))
-    line = base.select("_id", "_card", F.explode(moves).alias("m")).select("_id", "_card", "m.*")
-    running = Window.partitionBy("_card").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    asked = line.select("_id", "kind", *[F.sum(n).over(running).alias(n) for n in names], F.max("seen").over(running).alias("seen"), F.sum("born").over(running).alias("born")).filter("kind = 1")
-    tops = _block_maxima(base)
-    joined = asked.join(tops, "_id", "left")
+    base = events.select(F.col(key).alias("_id"), F.col(entity).alias("_card"), seconds(ts).alias("_u"), units(amount).alias("_units"), F.col(amount).cast("double").alias("_amount"), known_product(F.col(product)).alias("_code"))
+    parts = reduce(DataFrame.unionByName, [_by_block(base, w) for w in WINDOWS])
+    sums = [F.sum(F.when(F.col("w") == w, F.col(c))).alias(f"{c}_{w}") for w in WINDOWS for c in ("n", "s")]
+    tops = [F.max(F.when(F.col("w") == w, F.col("top"))).alias(f"top_{w}") for w in WINDOWS]
+    longest = F.col("w") == "7d"
+    inside = [F.sum(F.when(longest, F.col(f"p_{p}"))).alias(f"p_{p}") for p in PRODUCTS]
+    own = [F.sum(F.when(longest & (F.col("kind") == 1), F.col("n"))).alias("own_n"), F.max(F.when(longest & (F.col("kind") == 1), F.col("seen"))).alias("own_seen")]
+    found = parts.groupBy("_id").agg(*sums, *tops, *inside, *own)
+    block = F.floor(F.col("_u") / WINDOWS["7d"]).alias("block")
+    past = Window.partitionBy("_card").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = base.groupBy("_card", block).agg(F.count(F.lit(1)).alias("n"), F.max("_u").alias("seen"))
+    earlier = totals.select("_card", "block", F.sum("n").over(past).alias("past_n"), F.max("seen").over(past).alias("past_seen"))
+    joined = base.select("_id", "_card", block).join(earlier, ["_card", "block"]).join(found, "_id")
     made = _features(
         {w: F.col(f"n_{w}") for w in WINDOWS},
         {w: F.col(f"s_{w}") for w in WINDOWS},
         {w: F.col(f"top_{w}") for w in WINDOWS},
-        F.col("seen"),
-        F.col("born"),
+        F.coalesce("own_seen", "past_seen"),
+        F.coalesce("own_n", F.lit(0)) + F.coalesce("past_n", F.lit(0)),
         {p: F.col(f"p_{p}") for p in PRODUCTS},
     )
-    return events.join(joined.select("_id", *made).withColumnRenamed("_id", key), key).select(*events.columns, *FEATURE_NAMES)
-
-
-def _block_maxima(base: DataFrame) -> DataFrame:
-    """(_id, top_W): the window (t - W, t) is the end of one block of length W and the beginning of the next."""
-
-    def rows(w: str) -> DataFrame:
-        n = WINDOWS[w]
-        block, u = F.floor(F.col("_u") / n), F.col("_u")
-        cast = [F.struct(block.alias("block"), u.alias("at"), F.lit(0).alias("kind"), F.col("_amount").alias("value"))]
-        cast.append(F.struct(block.alias("block"), u.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("value")))
-        cast.append(F.struct((block - 1).alias("block"), (u - n).alias("at"), F.lit(2).alias("kind"), F.lit(None).cast("double").alias("value")))
-        line = base.select("_id", "_card", F.explode(F.array(*cast)).alias("m")).select("_id", "_card", F.lit(w).alias("w"), "m.*")
-        group = Window.partitionBy("_card", "w", "block")
-        before = group.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-        after = group.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
-        found = F.when(F.col("kind") == 1, F.max("value").over(before)).when(F.col("kind") == 2, F.max("value").over(after))
-        return line.select("_id", "w", "kind", found.alias("top")).filter("kind > 0 and top is not null")
-
-    every = reduce(DataFrame.unionByName, [rows(w) for w in WINDOWS])
-    return every.groupBy("_id").agg(*[F.max(F.when(F.col("w") == w, F.col("top"))).alias(f"top_{w}") for w in WINDOWS])
+    return events.join(joined.select(F.col("_id").alias(key), *made), key).select(*events.columns, *FEATURE_NAMES)
+
+
+def _by_block(base: DataFrame, w: str) -> DataFrame:
+    """(_id, w, kind, aggregates): kind 1 over what is before t in its block, kind 2 over what is after t - W in the block before."""
+    length, u = WINDOWS[w], F.col("_u")
+    block = F.floor(u / length)
+    rows = F.array(*[F.struct((block - int(kind == 2)).alias("block"), (u - (length if kind == 2 else 0)).alias("at"), F.lit(kind).alias("kind")) for kind in (0, 1, 2)])
+    line = base.select("_id", "_card", "_units", "_amount", "_code", F.explode(rows).alias("m")).select("*", "m.*").drop("m")
+    born = F.col("kind") == 0
+    values = {"n": (F.count, F.when(born, 1)), "s": (F.sum, F.when(born, F.col("_units"))), "top": (F.max, F.when(born, F.col("_amount"))), "seen": (F.max, F.when(born, F.col("at")))}
+    values |= {f"p_{p}": (F.count, F.when(born & (F.col("_code") == p), 1)) for p in PRODUCTS}
+    group = Window.partitionBy("_card", "block")
+    before = group.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    after = group.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    found = [F.when(F.col("kind") == 1, f(x).over(before)).otherwise(f(x).over(after)).alias(c) for c, (f, x) in values.items()]
+    return line.select("_id", F.lit(w).alias("w"), "kind", *found).filter("kind > 0")
 
 
 def arrival_features(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", key: str = "transaction_id") -> DataFrame:
