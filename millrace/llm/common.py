@@ -3,7 +3,9 @@ vectorised access to the UTF-8 bytes of Arrow string columns."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +15,19 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes of text that one vectorised step works on (a single longer text is one step)
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: bytes of an Arrow batch
+ARROW_BYTES = 8 << 20
 SLICE_ROWS = (1 << 16) - 1
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few MB, so that Python workers hold little at a time (a longer text is a batch of its own)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,11 +42,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps now, not at some later collection."""
-    import gc
+    """Let Spark's cleaner drop shuffle files of finished steps now, not at some later collection.
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Python's handles go first, by a thread of their own, so the JVM collects more than once."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def held_out(doc_id: Column) -> Column:

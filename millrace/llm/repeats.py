@@ -13,7 +13,8 @@ where different phrases share a trigger must their suffixes be ordered: step 2 t
 by hash, as only equality of LENGTH bytes counts; in a run of equal ones all but those of the
 smallest document are repeated.  Step 3 lays the found windows over the texts.
 
-Phrases move as packed columns of 26 bytes in one row per bucket and batch.  Before they move, a
+Phrases move as packed and compressed columns in one row per bucket and batch, texts as compressed
+Arrow blocks.  Before they move, a
 batch keeps only occurrences in its smallest document of each phrase and marks the others itself,
 so a passage that every document has costs a few rows.  A trigger with many phrases in one batch
 is hot: its phrases are dealt by their own hash and taken to step 2 as they are, and two marks in
@@ -32,44 +33,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import BYTE_VALUE, as_bytes, checkpoint, mix, prefix, read_table, release_shuffles, slices, spans
+from millrace.llm.common import BYTE_VALUE, as_bytes, checkpoint, mix, prefix, read_table, release_shuffles, slices, small_batches, spans
 
 LENGTH = 50
 TRIGGER = 16
 #: bytes of text whose phrases are combined before they move, and whose phrases make one bucket
-BATCH_BYTES = 12 << 20
-BUCKET_BYTES = 20 << 20
+BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
 #: a piece of a long text; its positions fit into POSITION_BITS
 PIECE = 1 << 22
 POSITION_BITS = 24
+#: a window holds so many bytes on the left or on the right of its trigger
+SIDE = (LENGTH - TRIGGER + 1) // 2
 #: phrases of one trigger in one batch that make it hot
 HOT_PHRASES = 64
 HOT, MARK = 0x80, 0x40
 REPEATED, ASKED = 0, 1
 
 _U = np.uint64
-_PHRASE = ((6, "key"), (7, "content"), (8, "doc"), (4, "at"), (1, "more"))
+_PHRASE = ((5, "key"), (6, "content"), (8, "doc"), (4, "at"), (1, "more"), (1, "left"), (1, "right"))
 _REPLY = ((8, "doc"), (4, "at"), (1, "more"), (1, "kind"))
 _WINDOW = ((8, "content"), (8, "doc"), (4, "at"))
 
 
 def pack(layout, columns: dict[str, np.ndarray]) -> bytes:
-    """Columns one after the other, each value in its low bytes."""
-    return b"".join(np.ascontiguousarray(columns[n].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes() for size, n in layout)
+    """Columns one after the other, each in its low bytes, all lowest bytes first and so on, compressed."""
+    raw = b"".join(columns[n].astype("<u8").view(np.uint8).reshape(-1, 8).T[:size].tobytes() for size, n in layout)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def unpack(layout, blobs: list[bytes]) -> dict[str, np.ndarray]:
     width = sum(size for size, _ in layout)
     out: dict[str, list[np.ndarray]] = {n: [] for _, n in layout}
-    for blob in blobs:
+    for packed in blobs:
+        blob = zstandard.ZstdDecompressor().decompress(packed)
         n, at = len(blob) // width, 0
         for size, name in layout:
             wide = np.zeros((n, 8), np.uint8)
-            wide[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(n, size)
+            wide[:, :size] = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T
             out[name].append(wide.view("<u8").reshape(-1))
             at += n * size
     return {n: np.concatenate(x) if x else np.zeros(0, _U) for n, x in out.items()}
@@ -108,7 +114,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The phrases of a run of texts: text number, first window, further windows, trigger hash, content hash."""
     windows = len(data) - LENGTH + 1
     if windows <= 0:
-        return {n: np.zeros(0, _U if n in ("key", "content") else np.int64) for n in ("text", "at", "more", "key", "content")}
+        return {n: np.zeros(0, _U if n in ("key", "content", "left", "right") else np.int64) for n in ("text", "at", "more", "key", "content", "left", "right")}
     sums = prefix(BYTE_VALUE[data])
     first = np.arange(len(data) - TRIGGER + 1)
     grams = spans(sums, first, first + TRIGGER)
@@ -129,7 +135,25 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (text[1:] != text[:-1])))) if len(at) else np.zeros(0, np.int64)
     last = np.append(cut[1:], len(at)) - 1
     begin = at[cut]
-    return {"text": text[cut], "at": begin - offsets[text[cut]], "more": last - cut, "key": grams[own[cut]], "content": spans(sums, begin, at[last] + LENGTH)}
+    # a trigger's hash is small, being the least of many: mixed again it deals evenly
+    place, number = own[cut], text[cut]
+
+    def side(start: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """A byte of the hash of SIDE bytes, from 1; 0 if the text has not so many there."""
+        out = np.zeros(len(cut), _U)
+        out[fits] = spans(sums, start[fits], start[fits] + SIDE) % _U(255) + _U(1)
+        return out
+
+    left, right = place - SIDE, place + TRIGGER
+    return {
+        "text": number,
+        "at": begin - offsets[number],
+        "more": last - cut,
+        "key": mix(grams[place]),
+        "content": spans(sums, begin, at[last] + LENGTH),
+        "left": side(left, left >= offsets[number]),
+        "right": side(right, right + SIDE <= offsets[number + 1]),
+    }
 
 
 def _smallest(group_start: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -145,6 +169,21 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _differ(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each run (from one of `ends` to the next) has different values."""
+    return np.minimum.reduceat(values, ends) != np.maximum.reduceat(values, ends)
+
+
+def _agree(key: np.ndarray, side: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Rows whose key and side (not 0) other rows with another first document have too."""
+    order = np.lexsort((side, key))
+    sorted_key, sorted_side = key[order], side[order]
+    ends = np.flatnonzero(_starts(sorted_key, sorted_side))
+    out = np.zeros(len(key), bool)
+    out[order] = np.repeat(_differ(first[order], ends), np.diff(np.append(ends, len(key)))) & (sorted_side != 0)
+    return out
+
+
 def _signed(doc: np.ndarray) -> np.ndarray:
     return doc.view(np.int64)
 
@@ -172,14 +211,14 @@ def _phrase_rows(n_buckets: int, n_docs: int):
     """Texts to packed phrases by trigger bucket; what a batch finds repeated by itself goes to -1 - document bucket."""
 
     def combine(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
-        key, content, doc, at, more = (np.concatenate([h[n] for h in held]) for n in ("key", "content", "doc", "at", "more"))
+        key, content, doc, at, more, left, right = (np.concatenate([h[n] for h in held]) for n in ("key", "content", "doc", "at", "more", "left", "right"))
         order = np.lexsort((_signed(doc), content, key))
-        key, content, doc, at, more = (x[order] for x in (key, content, doc, at, more))
+        key, content, doc, at, more, left, right = (x[order] for x in (key, content, doc, at, more, left, right))
         start = _starts(key, content)
         again = doc != _smallest(start, doc)
         buckets, blobs = _replies(doc[again], at[again], more[again], np.zeros(int(again.sum())), n_docs, -1)
         keep = ~again
-        key, content, doc, at, more, start = (x[keep] for x in (key, content, doc, at, more, start))
+        key, content, doc, at, more, start, left, right = (x[keep] for x in (key, content, doc, at, more, start, left, right))
         trigger = np.cumsum(_starts(key)) - 1
         n_phrases = np.bincount(trigger, start)
         hot = (n_phrases >= HOT_PHRASES)[trigger] if len(trigger) else np.zeros(0, bool)
@@ -190,11 +229,12 @@ def _phrase_rows(n_buckets: int, n_docs: int):
             low, high = (f.reduceat(_signed(doc)[hot], ends).view(_U) for f in (np.minimum, np.maximum))
             marked = np.repeat(key[hot][ends], 2)
             key, doc = np.concatenate((key, marked)), np.concatenate((doc, np.stack((low, high), 1).reshape(-1)))
-            content = np.concatenate((content, np.tile(np.array([16, 32], _U), len(ends))))
+            content = np.concatenate((content, np.tile(np.array([1 << 8, 2 << 8], _U), len(ends))))
             at, more = np.concatenate((at, np.zeros(len(marked), at.dtype))), np.concatenate((more, np.full(len(marked), MARK, _U)))
+            left, right = (np.concatenate((x, np.zeros(len(marked), _U))) for x in (left, right))
             bucket = np.concatenate((bucket, deal(marked, n_buckets)))
         # the bucket holds the high bits of the key, the record the low ones and the middle
-        b, x = _emit(bucket, _PHRASE, {"key": key >> _U(8), "content": content >> _U(4), "doc": doc, "at": at.astype(_U), "more": more})
+        b, x = _emit(bucket, _PHRASE, {"key": key >> _U(8), "content": content >> _U(8), "doc": doc, "at": at.astype(_U), "more": more, "left": left, "right": right})
         return _batch(buckets + b, blobs + x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +244,7 @@ def _phrase_rows(n_buckets: int, n_docs: int):
             data, offsets = as_bytes(batch.column(1))
             for part, where, row, start in pieces(data, offsets):
                 found = phrases(part, where)
-                held.append({"key": found["key"], "content": found["content"], "doc": ids[row[found["text"]]].astype(np.int64).view(_U), "at": found["at"] + start[found["text"]], "more": found["more"]})
+                held.append({"key": found["key"], "content": found["content"], "doc": ids[row[found["text"]]].astype(np.int64).view(_U), "at": found["at"] + start[found["text"]]} | {n: found[n] for n in ("more", "left", "right")})
                 size += len(part)
                 if size >= BATCH_BYTES:
                     yield combine(held)
@@ -242,15 +282,17 @@ def _meet_phrases(n_docs: int):
                 continue
             c = unpack(_PHRASE, blobs)
             order = np.lexsort((_signed(c["doc"]), c["content"], c["key"]))
-            key, content, doc, at, more = (c[n][order] for _, n in _PHRASE)
+            key, content, doc, at, more, left, right = (c[n][order] for _, n in _PHRASE)
             start = _starts(key, content)
             first = _smallest(start, doc)
             again = doc != first
-            # a trigger with phrases of different first documents needs its windows compared
+            # phrases of different first documents that share a trigger and a side need their windows compared;
+            # so do all phrases of a trigger that is hot somewhere
             ends = np.flatnonzero(_starts(key))
-            firsts = _signed(first)
-            differ = np.minimum.reduceat(firsts, ends) != np.maximum.reduceat(firsts, ends)
-            ask = np.repeat(differ, np.diff(np.append(ends, len(key)))) | (more & _U(HOT) != 0)
+            marked = np.maximum.reduceat((more & _U(MARK)).astype(np.int64), ends) > 0
+            ask = np.repeat(marked & _differ(_signed(first), ends), np.diff(np.append(ends, len(key)))) | (more & _U(HOT) != 0)
+            for side in (left, right):
+                ask |= _agree(key, side, _signed(first))
             send = (again | ask) & (more & _U(MARK) == 0)
             if send.any():
                 yield _batch(*_replies(doc[send], at[send], more[send] & _U(0x3F), np.where(again[send], REPEATED, ASKED), n_docs, 1))
@@ -283,22 +325,43 @@ def _found_by_doc(blobs: list[bytes]) -> dict[str, np.ndarray]:
     return {n: _signed(x[order]) for n, x in c.items()}
 
 
-def _documents(batches: Iterator[pa.RecordBatch], carried: int) -> Iterator[tuple[int, pa.RecordBatch, int, int, dict[str, np.ndarray]]]:
-    """(bucket, batch, from, to, replies) of the documents of each bucket; rows come sorted by bucket, replies before documents.
+def _pack_documents(n: int):
+    """Documents (doc_id, text, carried columns) as compressed Arrow blocks by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket = by_doc(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U), n)
+            order = np.argsort(bucket, kind="stable")
+            sorted_batch = batch.take(pa.array(order))
+            buckets, blobs = [], []
+            for b, x, y in chunks(bucket[order]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                    writer.write_batch(sorted_batch.slice(x, y - x))
+                buckets.append(b)
+                blobs.append(sink.getvalue().to_pybytes())
+            yield _batch(buckets, blobs)
+
+    return run
+
 
-    Columns: bucket, whether it is a document, blob, doc_id, text, and carried ones."""
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
+    """Blocks of documents with the replies of their bucket; rows (bucket, is_doc, blob) come sorted, replies before documents."""
     now, blobs, found = None, [], None
     for batch in batches:
-        bucket, is_doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for b, x, y in chunks(bucket.astype(np.int64) * 2 + is_doc):
-            if b // 2 != now:
-                now, blobs, found = b // 2, [], None
-            if b % 2 == 0:
-                blobs += batch.column(2).slice(x, y - x).to_pylist()
-            else:
-                if found is None:
-                    found, blobs = _found_by_doc(blobs), []
-                yield now, batch, x, y, found
+        for bucket, is_doc, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if bucket != now:
+                now, blobs, found = bucket, [], None
+            if not is_doc:
+                blobs.append(blob)
+                continue
+            if found is None:
+                found, blobs = _found_by_doc(blobs), []
+            for block in pa.ipc.open_stream(blob):
+                yield block, found
 
 
 def _asked_windows(n_buckets: int, n_docs: int):
@@ -316,11 +379,11 @@ def _asked_windows(n_buckets: int, n_docs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, batch, x, y, found in _documents(batches, 0):
+        for block, found in _documents(batches):
             ask = found["kind"] == ASKED
             docs, at, more = (found[n][ask] for n in ("doc", "at", "more"))
-            ids = batch.column(3).slice(x, y - x).to_numpy(zero_copy_only=False)
-            data, offsets = as_bytes(batch.column(4).slice(x, y - x))
+            ids = block.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            data, offsets = as_bytes(block.column(1))
             low, high = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
             for i in np.flatnonzero(high > low).tolist():
                 length = more[low[i] : high[i]] + 1
@@ -354,13 +417,12 @@ def _lay_over(carried: int, digest: bool):
     """Each document with its removed runs: counts and the hash of what is left, or the text that is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, batch, x, y, found in _documents(batches, carried):
+        for own, found in _documents(batches):
             hit = found["kind"] == REPEATED
             docs, at, more = (found[n][hit] for n in ("doc", "at", "more"))
-            own = batch.slice(x, y - x)
-            ids = own.column(3)
+            ids = own.column(0)
             known = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            data, offsets = as_bytes(own.column(4))
+            data, offsets = as_bytes(own.column(1))
             low, high = np.searchsorted(docs, known, "left"), np.searchsorted(docs, known, "right")
             low[np.asarray(ids.is_null())] = high[np.asarray(ids.is_null())] = 0
             rows: list[tuple] = []
@@ -373,7 +435,7 @@ def _lay_over(carried: int, digest: bool):
                 rows.append((len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest() if digest else kept.decode("utf-8", "ignore")))
             n, removed, count, last = zip(*rows, strict=True)
             out = [ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(last, pa.string())]
-            yield pa.record_batch([*out, *[own.column(5 + i) for i in range(carried)]], names=[f"c{i}" for i in range(5 + carried)])
+            yield pa.record_batch([*out, *[own.column(2 + i) for i in range(carried)]], names=[f"c{i}" for i in range(5 + carried)])
 
     return run
 
@@ -383,6 +445,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False, carry: tuple[str, ...]
 
     Where a cut splits a character of the kept text, its left-over bytes are dropped from the text (not from the digest)."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(carry)])
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
@@ -393,38 +456,30 @@ def remove_repeats(docs: DataFrame, digest: bool = False, carry: tuple[str, ...]
     def by_bucket(df: DataFrame) -> DataFrame:
         return df.repartition("bucket").sortWithinPartitions("bucket")
 
-    usable = rows.select("doc_id", "text").filter("doc_id is not null")
-    met = by_bucket(usable.mapInArrow(_phrase_rows(n, n), blob_rows)).mapInArrow(_meet_phrases(n), blob_rows)
-    replies = checkpoint(met)
-    release_shuffles(spark)
+    def met_phrases() -> DataFrame:
+        usable = rows.select("doc_id", "text").filter("doc_id is not null")
+        return by_bucket(usable.mapInArrow(_phrase_rows(n, n), blob_rows)).mapInArrow(_meet_phrases(n), blob_rows)
 
-    def with_documents(found: DataFrame, carried: int) -> DataFrame:
-        """Documents and replies of one bucket side by side, without a join."""
-        extra = [f"x{i}" for i in range(carried)]
-        kinds = {f"x{i}": docs.schema[c].dataType for i, c in enumerate(carry[:carried])}
-        left = found.select("bucket", F.lit(0).alias("is_doc"), "blob", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *[F.lit(None).cast(kinds[c]).alias(c) for c in extra])
-        right = rows.select("doc_id", "text", *extra).mapInArrow(_add_bucket(n), T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), *[T.StructField(c, kinds[c]) for c in extra], T.StructField("bucket", T.IntegerType())]))
-        right = right.select("bucket", F.lit(1).alias("is_doc"), F.lit(None).cast("binary").alias("blob"), "doc_id", "text", *extra)
-        return left.unionByName(right).repartition("bucket").sortWithinPartitions("bucket", "is_doc")
-
-    asked = with_documents(replies, 0).mapInArrow(_asked_windows(n, n), blob_rows)
-    finer = checkpoint(by_bucket(asked).mapInArrow(_meet_windows(n), blob_rows))
+    def with_documents(found: DataFrame, *extra: str) -> DataFrame:
+        """Replies and documents of one bucket side by side, without a join."""
+        packed = rows.select("doc_id", "text", *extra).mapInArrow(_pack_documents(n), blob_rows)
+        both = found.select("bucket", F.lit(0).alias("is_doc"), "blob").unionByName(packed.select("bucket", F.lit(1).alias("is_doc"), "blob"))
+        return both.repartition("bucket").sortWithinPartitions("bucket", "is_doc")
+
+    def met_windows() -> DataFrame:
+        asked = with_documents(replies).mapInArrow(_asked_windows(n, n), blob_rows)
+        return by_bucket(asked).mapInArrow(_meet_windows(n), blob_rows)
+
+    # no name holds a plan past its checkpoint, so its shuffle files can go
+    replies = checkpoint(met_phrases())
+    release_shuffles(spark)
+    finer = checkpoint(met_windows())
     release_shuffles(spark)
 
     last = "kept_sha256" if digest else "text"
     kinds = [T.LongType()] * 4 + [T.StringType()] + [docs.schema[c].dataType for c in carry]
     schema = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)])
-    return with_documents(replies.unionByName(finer), len(carry)).mapInArrow(_lay_over(len(carry), digest), schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", last, *carry)
-
-
-def _add_bucket(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            bucket = by_doc(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U), n)
-            yield pa.record_batch([*batch.columns, pa.array(bucket.astype(np.int32))], names=[*batch.schema.names, "bucket"])
-
-    return run
+    return with_documents(replies.unionByName(finer), *[f"x{i}" for i in range(len(carry))]).mapInArrow(_lay_over(len(carry), digest), schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", last, *carry)
 
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
