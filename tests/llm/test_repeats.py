@@ -104,7 +104,7 @@ def test_one_hot_batch_and_one_that_is_not(monkeypatch):
 
 def test_packing_keeps_values():
     rng = np.random.default_rng(1)
-    columns = {"key": rng.integers(0, 1 << 40, 99, dtype=np.uint64), "content": rng.integers(0, 1 << 48, 99, dtype=np.uint64), "doc": rng.integers(0, 1 << 63, 99, dtype=np.uint64), "at": rng.integers(0, 1 << 32, 99, dtype=np.uint64), "more": rng.integers(0, 255, 99, dtype=np.uint64)}
+    columns = {"key": rng.integers(0, 1 << 40, 99, dtype=np.uint64), "content": rng.integers(0, 1 << 48, 99, dtype=np.uint64), "doc": rng.integers(0, 1 << 63, 99, dtype=np.uint64), "at": rng.integers(0, 1 << 32, 99, dtype=np.uint64)} | {n: rng.integers(0, 255, 99, dtype=np.uint64) for n in ("more", "left", "right")}
     back = repeats.unpack(repeats._PHRASE, [repeats.pack(repeats._PHRASE, columns)] * 2)
     assert all((back[n] == np.tile(c, 2)).all() for n, c in columns.items())
     assert all(len(c) == 0 for c in repeats.unpack(repeats._PHRASE, []).values())
