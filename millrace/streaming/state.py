@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.spec import FEATURES, NO_LAST, PRODUCTS, UNITS, WINDOWS
+from millrace.workers import reach
 
 POLICIES = ("watermark", "arrival")
 LONGEST = max(WINDOWS.values())
@@ -157,6 +158,7 @@ class CardProcessor(StatefulProcessor):
 
 def keyed_features(events: DataFrame, policy: str = "watermark", finalize: bool = False, release_ms: int | None = None) -> DataFrame:
     """Scoring and store rows of a stream or a batch with (card_id, u, transaction_id, amount, product_cd)."""
+    reach(events.sparkSession)
     if not events.isStreaming:
         _ = events.sparkSession.streams.active  # starts the state store's coordinator, which a batch needs too
     mode = "ProcessingTime" if release_ms is not None and events.isStreaming else "None"
