@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.workers import reach
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes of text that one vectorised step works on (a single longer text is one step)
 SLICE_BYTES = 1 << 18
@@ -22,8 +24,10 @@ SLICE_ROWS = (1 << 16) - 1
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a few MB, so that Python workers hold little at a time (a longer text is a batch of its own)."""
+    """Arrow batches of a few MB, so that Python workers hold little at a time (a longer text is a batch of its own);
+    and workers that can import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    reach(spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
