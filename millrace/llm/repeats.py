@@ -45,6 +45,7 @@ TRIGGER = 16
 #: bytes of text whose phrases are combined before they move, and whose phrases make one bucket
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
+LEAST_BUCKETS = 64
 #: a piece of a long text; its positions fit into POSITION_BITS
 PIECE = 1 << 22
 POSITION_BITS = 24
@@ -449,8 +450,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False, carry: tuple[str, ...]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(carry)])
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = max(2 * shuffle, -(-total // BUCKET_BYTES))
+    n = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
     blob_rows = "bucket int, blob binary"
 
     def by_bucket(df: DataFrame) -> DataFrame:
