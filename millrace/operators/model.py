@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.features import category_map, encode
@@ -32,9 +32,9 @@ def fit(train: DataFrame, maps: dict[str, list[str]], model_type: str = "gbt", l
 
 
 def score(df: DataFrame, model: PipelineModel, maps: dict[str, list[str]], threshold: float = 0.5) -> DataFrame:
-    """df with a probability and whether it reaches the threshold."""
+    """df (with its own columns, unencoded) and a probability by transaction_id, and whether it reaches the threshold."""
     scored = model.transform(encode(df, maps)).withColumn("score", vector_to_array("probability")[1])
-    return df.join(scored.select("transaction_id", "score"), "transaction_id").withColumn("flagged", F.col("score") >= threshold) if "transaction_id" in df.columns else scored.withColumn("flagged", F.col("score") >= threshold)
+    return df.join(scored.select("transaction_id", "score"), "transaction_id").withColumn("flagged", F.col("score") >= threshold)
 
 
 def search(split: DataFrame, grid: list[dict], label: str = "is_fraud") -> tuple[PipelineModel, dict, dict[str, list[str]]]:
@@ -57,13 +57,9 @@ def importance(model: PipelineModel) -> list[tuple[str, float]]:
 
 def save(model: PipelineModel, maps: dict[str, list[str]], path: str, threshold: float = 0.5) -> None:
     model.write().overwrite().save(f"{path}/model")  # metadata is one JSON line beside it
-    from pyspark.sql import SparkSession
-
     meta = json.dumps({"inputs": MODEL_INPUTS, "categories": maps, "threshold": threshold, "type": "gbt"})
     SparkSession.active().createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
 
 def load(path: str) -> tuple[PipelineModel, dict]:
-    from pyspark.sql import SparkSession
-
     return PipelineModel.load(f"{path}/model"), json.loads(SparkSession.active().read.text(f"{path}/metadata").first()[0])

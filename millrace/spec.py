@@ -55,6 +55,8 @@ def _features() -> tuple[Feature, ...]:
 FEATURES = _features()
 FEATURE_NAMES = [f.name for f in FEATURES]
 DEFAULTS = {f.name: f.default for f in FEATURES}
+
+# Names of request-time features, model inputs and watched columns.
 ONDEMAND = ["amt_over_mean_24h", "amt_over_max_7d", "product_freq_7d", "seconds_since_last_txn"]
 REQUEST = ["amount", "hour_of_day", "day_of_week", "addr1", "dist1"]
 STORE_ONLY = {"last_txn_unixtime"}  # an absolute time cannot carry over a chronological split
