@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ALNUM, Words, as_bytes, read_table, text_slices
+from millrace.llm.common import ALNUM, Words, as_bytes, read_table, text_slices, trimmed
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text:
     for block in range(blocks):
         items = [tuple(r) for r in bench.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()]
         out = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField(f"c{len(fields)}", T.StringType()), T.StructField(f"c{len(fields) + 1}", RESULT)])
-        current = current.mapInArrow(_scan(WindowTable(items, n), len(fields), block > 0), out)
+        current = current.mapInArrow(trimmed(_scan(WindowTable(items, n), len(fields), block > 0)), out)
     return current.drop(f"c{len(fields)}").toDF(*docs.columns, result)
 
 

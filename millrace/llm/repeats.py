@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import BYTE_VALUE, as_bytes, checkpoint, mix, prefix, read_table, release_shuffles, slices, small_batches, spans
+from millrace.llm.common import BYTE_VALUE, as_bytes, checkpoint, mix, prefix, read_table, release_shuffles, slices, small_batches, spans, trimmed
 
 LENGTH = 50
 TRIGGER = 16
@@ -458,17 +458,17 @@ def remove_repeats(docs: DataFrame, digest: bool = False, carry: tuple[str, ...]
 
     def met_phrases() -> DataFrame:
         usable = rows.select("doc_id", "text").filter("doc_id is not null")
-        return by_bucket(usable.mapInArrow(_phrase_rows(n, n), blob_rows)).mapInArrow(_meet_phrases(n), blob_rows)
+        return by_bucket(usable.mapInArrow(trimmed(_phrase_rows(n, n)), blob_rows)).mapInArrow(trimmed(_meet_phrases(n)), blob_rows)
 
     def with_documents(found: DataFrame, *extra: str) -> DataFrame:
         """Replies and documents of one bucket side by side, without a join."""
-        packed = rows.select("doc_id", "text", *extra).mapInArrow(_pack_documents(n), blob_rows)
+        packed = rows.select("doc_id", "text", *extra).mapInArrow(trimmed(_pack_documents(n)), blob_rows)
         both = found.select("bucket", F.lit(0).alias("is_doc"), "blob").unionByName(packed.select("bucket", F.lit(1).alias("is_doc"), "blob"))
         return both.repartition("bucket").sortWithinPartitions("bucket", "is_doc")
 
     def met_windows() -> DataFrame:
-        asked = with_documents(replies).mapInArrow(_asked_windows(n, n), blob_rows)
-        return by_bucket(asked).mapInArrow(_meet_windows(n), blob_rows)
+        asked = with_documents(replies).mapInArrow(trimmed(_asked_windows(n, n)), blob_rows)
+        return by_bucket(asked).mapInArrow(trimmed(_meet_windows(n)), blob_rows)
 
     # no name holds a plan past its checkpoint, so its shuffle files can go
     replies = checkpoint(met_phrases())
@@ -479,7 +479,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False, carry: tuple[str, ...]
     last = "kept_sha256" if digest else "text"
     kinds = [T.LongType()] * 4 + [T.StringType()] + [docs.schema[c].dataType for c in carry]
     schema = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)])
-    return with_documents(replies.unionByName(finer), *[f"x{i}" for i in range(len(carry))]).mapInArrow(_lay_over(len(carry), digest), schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", last, *carry)
+    return with_documents(replies.unionByName(finer), *[f"x{i}" for i in range(len(carry))]).mapInArrow(trimmed(_lay_over(len(carry), digest)), schema).toDF("doc_id", "n_bytes", "n_removed", "n_spans", last, *carry)
 
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpoint, read_table
+from millrace.llm.common import checkpoint, read_table, trimmed
 
 BITS = 64
 GROUP_ROWS = 1024
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataF
             found = np.array([simhash(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(each, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(trimmed(each), "doc_id long, fp long")
 
 
 def signed(x: int) -> int:
@@ -147,7 +147,7 @@ def link_edges(classes: DataFrame, radius: int) -> DataFrame:
             small.select(F.col("tag").cast("long").alias("tag"), "key", "node", "fp")
             .repartition("tag", "key")
             .sortWithinPartitions("tag", "key")
-            .mapInArrow(_link_groups(radius), "u long, v long")
+            .mapInArrow(trimmed(_link_groups(radius)), "u long, v long")
         )
         out = edges if out is None else out.unionByName(edges)
         if final or sizes.filter(F.col("size") > GROUP_ROWS).isEmpty():

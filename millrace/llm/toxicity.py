@@ -59,12 +59,12 @@ def _core(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
-def units(data: np.ndarray, words: Words) -> list[np.ndarray]:
+def units(data: np.ndarray, words: Words, lengths: tuple[int, ...] = BEGINNINGS) -> list[np.ndarray]:
     """Hashes of each word (without outer punctuation) and of its beginnings; a beginning that is too long is 0."""
     start, end = _core(data, words)
     sums = prefix(BYTE_VALUE[FOLD][data])
     out = []
-    for n in BEGINNINGS:
+    for n in lengths:
         upto = start + n if n else end
         fits = upto <= end
         h = np.zeros(len(start), np.uint64)
@@ -170,20 +170,23 @@ def _save(**arrays: np.ndarray) -> bytes:
 def fit(texts: pa.Array, y: np.ndarray, ids: np.ndarray) -> bytes:
     if len(set(y.tolist())) < 2:
         return _save(prior=np.array([y.mean()]))
-    pairs: list[list[tuple[int, np.ndarray]]] = [[] for _ in BEGINNINGS]
-    for a, _, data, offsets in text_slices(texts):
-        words = Words(data, offsets, NONSPACE)
-        for own, h in zip(pairs, units(data, words), strict=True):
-            own.append((a, np.unique(h | words.doc.astype(np.uint64))))
+    share = y.mean()
     docs, kept = [], []
-    for own in pairs:
-        doc = np.concatenate([(p & ~KEY).astype(np.int32) + np.int32(a) for a, p in own])
-        unit = np.concatenate([p & KEY for _, p in own])
-        own.clear()
+    for n in BEGINNINGS:  # one kind after the other, so that few pairs are held at a time
+        own, rows = [], []
+        for a, _, data, offsets in text_slices(texts):
+            words = Words(data, offsets, NONSPACE)
+            pairs = np.unique(units(data, words, (n,))[0] | words.doc.astype(np.uint64))
+            own.append(pairs & KEY)
+            rows.append((pairs & ~KEY).astype(np.int32) + np.int32(a))
+        unit, doc = np.concatenate(own), np.concatenate(rows)
         _, where, count = np.unique(unit, return_inverse=True, return_counts=True)
-        often = count[where] >= 3  # units of fewer documents never pass, and are most of all
-        docs.append(doc[often])
-        kept.append(unit[often])
+        toxic = np.bincount(where, y[doc])
+        # no unit passes that is in fewer toxic documents, or is toxic less often than documents are
+        fits = ((toxic >= 3) & (toxic >= share * count))[where]
+        docs.append(doc[fits])
+        kept.append(unit[fits])
+        del own, rows, unit, doc, where, count, toxic, fits
     doc, unit = np.concatenate(docs), np.concatenate(kept)
     seeds, second = hashes_of(SEEDS), hashes_of(SECOND_PERSON)
     fold = np.arange(len(y)) % FOLDS

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out
+from millrace.llm.common import held_out, trimmed
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, seed: int = 7) -> DataFrame:
@@ -31,11 +31,12 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[pa.Array, np.ndarray, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            table = pa.Table.from_batches(held).combine_chunks().sort_by("doc_id")
+            table = pa.Table.from_batches(held).sort_by("doc_id")
+            held.clear()
             model = fit(table.column("t").combine_chunks(), table.column("y").to_numpy().astype(np.int64), table.column("doc_id").to_numpy())
             yield pa.record_batch([pa.array([model], pa.binary())], names=["model"])
 
-    found = sample.select("doc_id", "t", "y").repartition(1).mapInArrow(run, "model binary").collect()
+    found = sample.select("doc_id", "t", "y").repartition(1).mapInArrow(trimmed(run), "model binary").collect()
     return bytes(found[0][0]) if found else None
 
 
@@ -56,6 +57,6 @@ def score_rows(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], thresho
         names = docs.columns
         inner = docs.select(*names, text).toDF(*[f"c{i}" for i in range(len(names))], "t")
         kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-        return inner.mapInArrow(run, f"{kinds}, c{len(names)} double").toDF(*names, "_score")
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "c0 long, c1 double").toDF("doc_id", "score")
+        return inner.mapInArrow(trimmed(run), f"{kinds}, c{len(names)} double").toDF(*names, "_score")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(trimmed(run), "c0 long, c1 double").toDF("doc_id", "score")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
