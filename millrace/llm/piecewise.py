@@ -2,14 +2,17 @@
 
 A hash of the last SPAN bytes is taken at every byte.  A byte whose hash ends in at least k zero
 bits closes a chunk of level k; each chunk gives one of 64 letters from a hash of its contents.
-A text's level is the highest that still gives LEAST chunks (0 for short texts, where every byte
-closes one), so nearly equal texts have equal or neighbouring levels.  A fingerprint is
-"level:signature:signature one level up"; a signature has LETTERS letters at most, the last of
-which then covers the rest of the text.  Two fingerprints are compared by edit distance of the
-signatures of equal level: 1 less distance over the longer length, and the best of such pairs
-counts; if no levels agree, or one text is empty and the other not, the likeness is 0.
-
-Null and empty texts have the fingerprint "0::", and are alike (1) to each other.  Documents
+Where the same SPAN bytes come again in a text, each further occurrence has a hash of its own, so
+the chunks fall by half from level to level in texts of repeated lines and passages too.  A text's
+level is the highest that still gives LEAST chunks (0 for short texts, where every byte closes
+one), so texts whose lengths differ by less than four times have levels at most two apart (but for
+chance).  A fingerprint is "level:signature:signature one level up:signature two levels up"; a
+signature has LETTERS letters at most, the last of which then covers the rest of the text.  Two
+fingerprints are compared by edit distance of the signatures of equal level: 1 less distance over
+the longer length, and the best of such pairs counts (the topmost signature only where levels are
+two apart); if no levels agree, or one text is empty and the other not, the likeness is 0.
+
+Null and empty texts have the fingerprint "0:::", and are alike (1) to each other.  Documents
 follow each other by (doc_id, text), nulls first; the last is followed by the first, and a
 single document by itself.
 """
@@ -30,6 +33,8 @@ from millrace.llm.common import BYTE_VALUE, as_bytes, mix, read_table, slices
 SPAN = 7
 LEAST = 32
 LETTERS = 64
+#: neighbouring levels whose signatures a fingerprint keeps
+LEVELS = 3
 #: documents of one bucket of the order
 BUCKET_ROWS = 4000
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
@@ -49,6 +54,22 @@ def context_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def closing_levels(hashes: np.ndarray) -> np.ndarray:
+    """The number of low zero bits of the hash at each byte of one text, where each further occurrence of a context has a hash of its own.
+
+    Contexts are counted by as many high bits of their hash as leave room for the place."""
+    n = len(hashes)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    order = np.sort((hashes & ~low) | np.arange(n, dtype=np.uint64))
+    place = (order & low).astype(np.int64)
+    start = np.flatnonzero(np.concatenate(([True], (order[1:] ^ order[:-1]) > low))) if n else np.zeros(0, np.int64)
+    nth = np.zeros(n, np.uint64)
+    nth[place] = np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))
+    own = np.where(nth > 0, mix(hashes + nth * _STEP), hashes)
+    last = own & (~own + np.uint64(1))  # the lowest set bit
+    return np.where(last == 0, 63, np.log2(np.maximum(last, np.uint64(1)).astype(np.float64))).astype(np.int64)
+
+
 def _signature(hashes: np.ndarray, close: np.ndarray) -> bytes:
     """Letters of the chunks that end at `close` (places, ascending) and of what is left after them."""
     if not len(hashes):
@@ -61,17 +82,14 @@ def _signature(hashes: np.ndarray, close: np.ndarray) -> bytes:
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     hashes = context_hashes(data, offsets)
-    low = hashes & (~hashes + np.uint64(1))  # the lowest set bit
-    zeros = np.where(low == 0, 63, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64))).astype(np.int64)
     inner = mix(hashes ^ np.uint64(0xA5A5A5A5))
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        own = zeros[a:b]
+        own = closing_levels(hashes[a:b])
         enough = np.flatnonzero(np.cumsum(np.bincount(own, minlength=64)[::-1])[::-1] >= LEAST)
         level = int(enough[-1]) if len(enough) else 0
-        one = _signature(inner[a:b], np.flatnonzero(own >= level))
-        two = _signature(inner[a:b], np.flatnonzero(own >= level + 1))
-        out.append(f"{level}:{one.decode()}:{two.decode()}")
+        signatures = [_signature(inner[a:b], np.flatnonzero(own >= level + up)).decode() for up in range(LEVELS)]
+        out.append(":".join([str(level), *signatures]))
     return out
 
 
@@ -114,9 +132,10 @@ def likeness(left: list[str], right: list[str]) -> np.ndarray:
             continue
         (k, *own), (m, *other) = x.encode().split(b":"), y.encode().split(b":")
         gap = int(k) - int(m)
-        for p in (0, 1):
+        # a signature of the topmost level has few letters: it counts where the texts share no other
+        for p in range(LEVELS):
             q = p + gap
-            if 0 <= q <= 1 and own[p] and other[q]:
+            if 0 <= q < max(2, abs(gap) + 1) and p < max(2, abs(gap) + 1) and q < LEVELS and own[p] and other[q]:
                 pairs.append((i, own[p], other[q]))
     if pairs:
         where, a, b = (list(x) for x in zip(*pairs, strict=True))

@@ -254,6 +254,20 @@ def test_likeness():
     assert piecewise.likeness([one("")], [one(text)]).tolist() == [0.0]
 
 
+def repeated(rng):
+    """A text of one line that comes again and again, or of a few lines in any order, and other words in between."""
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(8, 90))) + "\n" for _ in range(rng.choice([1, 1, 2, 4]))]
+    return "".join(rng.choice(lines) if rng.random() < 0.97 else f"{rng.randrange(10**6)} " for _ in range(rng.randrange(30, 300)))
+
+
+def test_edited_texts_of_repeated_lines_stay_alike():
+    rng = random.Random(12)
+    texts = [repeated(rng) for _ in range(120)] + ["a" * 5000, "ab" * 900]
+    other = " ".join(f"{rng.choice('hijklmn')}{rng.randrange(99)}" for _ in range(9000))
+    near = piecewise.likeness([one(t) for t in texts], [one(piecewise.edited(t, other)) for t in texts])
+    assert near.min() > 0.3 and np.median(near) > 0.6
+
+
 def test_neighbours_match_a_plain_order(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(-1000, 1000), "".join(rng.choice("abé日 ") for _ in range(rng.randrange(0, 90)))) for _ in range(150)] + [(2000, None)]
