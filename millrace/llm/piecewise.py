@@ -4,11 +4,10 @@ A hash of the last SPAN bytes is taken at every byte.  A byte whose hash ends in
 bits closes a chunk of level k; each chunk gives one of 64 letters from a hash of its contents.
 Where the same SPAN bytes come again in a text, each further occurrence has a hash of its own, so
 the chunks fall by half from level to level in texts of repeated lines and passages too.  A text's
-level is the highest that still gives LEAST chunks (0 for short texts, where every byte closes
-one), so texts whose lengths differ by less than four times have levels at most two apart (but for
-chance).  A fingerprint is "level:signature:signature one level up:signature two levels up"; a
-signature has LETTERS letters at most, the last of which then covers the rest of the text.  Two
-fingerprints are compared by edit distance of the signatures of equal level: 1 less distance over
+level is the lowest at which fewer than LETTERS bytes close a chunk (0 for short texts, where every
+byte does), so texts whose lengths differ by less than four times have levels at most two apart
+(but for chance), and the LETTERS letters at most of a signature spread over the whole text.  A
+fingerprint is "level:signature:signature one level up:signature two levels up".  Two fingerprints are compared by edit distance of the signatures of equal level: 1 less distance over
 the longer length, and the best of such pairs counts (the topmost signature only where levels are
 two apart); if no levels agree, or one text is empty and the other not, the likeness is 0.
 
@@ -31,7 +30,6 @@ from pyspark.sql import types as T
 from millrace.llm.common import BYTE_VALUE, as_bytes, mix, read_table, slices
 
 SPAN = 7
-LEAST = 32
 LETTERS = 64
 #: neighbouring levels whose signatures a fingerprint keeps
 LEVELS = 3
@@ -74,7 +72,6 @@ def _signature(hashes: np.ndarray, close: np.ndarray) -> bytes:
     """Letters of the chunks that end at `close` (places, ascending) and of what is left after them."""
     if not len(hashes):
         return b""
-    close = close[: LETTERS - 1]
     start = np.concatenate(([0], close + 1))
     start = start[start < len(hashes)]
     return ALPHABET[(mix(np.add.reduceat(hashes, start)) >> np.uint64(58)).astype(np.int64)].tobytes()
@@ -86,8 +83,7 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[str]:
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         own = closing_levels(hashes[a:b])
-        enough = np.flatnonzero(np.cumsum(np.bincount(own, minlength=64)[::-1])[::-1] >= LEAST)
-        level = int(enough[-1]) if len(enough) else 0
+        level = int(np.argmax(np.cumsum(np.bincount(own, minlength=64)[::-1])[::-1] < LETTERS))
         signatures = [_signature(inner[a:b], np.flatnonzero(own >= level + up)).decode() for up in range(LEVELS)]
         out.append(":".join([str(level), *signatures]))
     return out

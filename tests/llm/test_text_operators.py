@@ -268,6 +268,26 @@ def test_edited_texts_of_repeated_lines_stay_alike():
     assert near.min() > 0.3 and np.median(near) > 0.6
 
 
+def test_letters_spread_over_the_whole_text():
+    """No letter covers a great part of a text, so a change of any eighth of it shows, and a like beginning does not hide a different rest."""
+    rng = random.Random(3)
+    texts = [repeated(rng) for _ in range(80)] + ["".join(rng.choice("abcdé \n") for _ in range(rng.randrange(400, 9000))) for _ in range(80)]
+    for text in texts:
+        n = len(text)
+        for p in range(0, n - n // 8, max(1, n // 5)):
+            changed = text[:p] + "".join(rng.choice("uvwxyz") for _ in range(n // 8)) + text[p + n // 8 :]
+            assert piecewise.likeness([one(text)], [one(changed)])[0] < 0.98
+        data, offsets = common.as_bytes(pa.array([text]))
+        level, *signatures = one(text).split(":")
+        closed = piecewise.closing_levels(piecewise.context_hashes(data, offsets))
+        for up, signature in enumerate(signatures):
+            ends = np.flatnonzero(closed >= int(level) + up)
+            assert len(signature) == len(ends) + (ends[-1] + 1 < len(data))
+    line = "this line stands here many times, one after the other\n" * 300
+    rest = ["".join(rng.choice(x) for _ in range(len(line) * 3)) for x in ("abcdef", "uvwxyz")]
+    assert piecewise.likeness([one(line + rest[0])], [one(line + rest[1])])[0] < 0.5
+
+
 def test_neighbours_match_a_plain_order(spark):
     rng = random.Random(4)
     rows = [(rng.randrange(-1000, 1000), "".join(rng.choice("abé日 ") for _ in range(rng.randrange(0, 90)))) for _ in range(150)] + [(2000, None)]
