@@ -290,8 +290,10 @@ def _meet_phrases(n_docs: int):
             # phrases of different first documents that share a trigger and a side need their windows compared;
             # so do all phrases of a trigger that is hot somewhere
             ends = np.flatnonzero(_starts(key))
-            marked = np.maximum.reduceat((more & _U(MARK)).astype(np.int64), ends) > 0
-            ask = np.repeat(marked & _differ(_signed(first), ends), np.diff(np.append(ends, len(key)))) | (more & _U(HOT) != 0)
+            mark = more & _U(MARK) != 0
+            marked = np.maximum.reduceat(mark.astype(np.int64), ends) > 0
+            # each mark counts by its own document: the least of all may be one that this batch has too
+            ask = np.repeat(marked & _differ(_signed(np.where(mark, doc, first)), ends), np.diff(np.append(ends, len(key)))) | (more & _U(HOT) != 0)
             for side in (left, right):
                 ask |= _agree(key, side, _signed(first))
             send = (again | ask) & (more & _U(MARK) == 0)

@@ -102,6 +102,28 @@ def test_one_hot_batch_and_one_that_is_not(monkeypatch):
     assert in_process(moved, batch=14) == brute(moved)
 
 
+def letters(rng, n):
+    return bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+
+def test_document_alone_in_a_hot_batch_and_in_one_that_is_not(monkeypatch):
+    """The further phrase of a trigger in a later piece of the smallest document meets the larger document's hot ones."""
+    rng = random.Random(6)
+    data = letters(rng, 40_000)
+    first = np.arange(len(data) - repeats.TRIGGER + 1)
+    grams = repeats.spans(repeats.prefix(repeats.BYTE_VALUE[np.frombuffer(data, np.uint8)]), first, first + repeats.TRIGGER)
+    trigger = data[int(grams.argmin()) :][: repeats.TRIGGER]
+    monkeypatch.setattr(repeats, "HOT_PHRASES", 4)
+    monkeypatch.setattr(repeats, "PIECE", 600)
+    monkeypatch.setattr(repeats, "BATCH_BYTES", 600)
+    many = [b"".join(letters(rng, 34) + trigger + letters(rng, 34) for _ in range(6)) for _ in range(2)]
+    shared = letters(rng, 24) + trigger + letters(rng, 24)
+    docs = [(5, many[0] + letters(rng, 200) + shared + letters(rng, 60)), (9, letters(rng, 20) + shared + letters(rng, 20) + many[1][:400])]
+    want = brute(docs)
+    assert want[9][1] >= len(shared)
+    assert in_process(docs, n=4096, batch=1) == want
+
+
 def test_packing_keeps_values():
     rng = np.random.default_rng(1)
     columns = {"key": rng.integers(0, 1 << 40, 99, dtype=np.uint64), "content": rng.integers(0, 1 << 48, 99, dtype=np.uint64), "doc": rng.integers(0, 1 << 63, 99, dtype=np.uint64), "at": rng.integers(0, 1 << 32, 99, dtype=np.uint64)} | {n: rng.integers(0, 255, 99, dtype=np.uint64) for n in ("more", "left", "right")}
