@@ -388,6 +388,8 @@ def _asked_windows(n_buckets: int, n_docs: int):
             ids = block.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             data, offsets = as_bytes(block.column(1))
             low, high = np.searchsorted(docs, ids, "left"), np.searchsorted(docs, ids, "right")
+            unnamed = np.asarray(block.column(0).is_null())
+            low[unnamed] = high[unnamed] = 0
             for i in np.flatnonzero(high > low).tolist():
                 length = more[low[i] : high[i]] + 1
                 begin = np.repeat(at[low[i] : high[i]] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(int(length.sum()))

@@ -147,3 +147,16 @@ def test_awkward_rows(spark, awkward, none):
     assert by[2]["n_removed"] == by[2]["n_bytes"] > 0 and by[1]["n_removed"] == 0
     assert by[None]["n_removed"] == 0 and by[3]["n_bytes"] == 0
     assert repeats.remove_repeats(none).count() == 0
+
+
+def test_a_row_without_an_id_is_not_document_0(spark):
+    """Windows of document 0 are asked for at the places where the row without an id has a passage that two larger documents share."""
+    rng = random.Random(1)
+    own, passage = letters(rng, 70), letters(rng, 70)
+    docs = [(0, letters(rng, 60) + own + letters(rng, 60)), (9, letters(rng, 60) + own + letters(rng, 60)), (7, letters(rng, 90) + passage + letters(rng, 40)), (8, letters(rng, 40) + passage + letters(rng, 90))]
+    unnamed = letters(rng, 60) + passage + letters(rng, 60)
+    rows = spark.createDataFrame([(i, b.decode()) for i, b in [*docs, (None, unnamed)]], "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeats(rows, digest=True).collect()}
+    assert got.pop(None) == (len(unnamed), 0, 0, hashlib.sha256(unnamed).hexdigest())
+    want = brute(docs)
+    assert got == want and want[8][1] > 0 == want[7][1]
