@@ -49,7 +49,7 @@ from millrace.llm.common import BYTE_VALUE, as_bytes, checkpoint, mix, prefix, r
 
 LENGTH = 50
 #: bytes of a trigger at each level
-TRIGGERS = (16, 33, 42, 50)
+TRIGGERS = (12, 24, 37, 50)
 #: bytes of text whose phrases are combined before they move, and whose phrases make one bucket
 BATCH_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
@@ -81,7 +81,7 @@ def _matrix(layout, columns: dict[str, np.ndarray]) -> np.ndarray:
 
 def pack(fixed: np.ndarray, data: bytes = b"") -> bytes:
     """Records byte by byte (all first bytes, all second bytes and so on), then free data, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join((len(fixed).to_bytes(4, "little"), fixed.T.tobytes(), data)))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join((len(fixed).to_bytes(4, "little"), fixed.T.tobytes(), data)))
 
 
 def unpack(layout, blobs: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -445,7 +445,8 @@ def _pack_documents(n: int):
             if not batch.num_rows:
                 continue
             ids, hashes = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 2))
-            bucket = deal(row_key(ids, hashes), n)
+            # rows without an id have no answers and may go anywhere
+            bucket = np.where(np.asarray(batch.column(0).is_null()), np.arange(batch.num_rows) % n, deal(row_key(ids, hashes), n))
             order = np.argsort(bucket, kind="stable")
             sorted_batch = batch.take(pa.array(order))
             buckets, blobs = [], []
@@ -539,7 +540,11 @@ def remove_repeats(docs: DataFrame, digest: bool = False, carry: tuple[str, ...]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(carry)])
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    ids = rows.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("n"), (F.min("text_hash") < F.max("text_hash")).alias("differ"))
+    total, differ = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or(F.col("differ") & F.col("doc_id").isNotNull()), F.lit(False))).first()
+    if not differ:
+        # an id tells a row's text already, so the hash need not move with each phrase
+        rows = rows.withColumn("text_hash", F.lit(0).cast("long"))
     n, n_docs = (max(LEAST_BUCKETS, -(-total // size)) for size in (BUCKET_BYTES, DOCUMENT_BYTES))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
 
