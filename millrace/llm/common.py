@@ -78,6 +78,13 @@ def trimmed(run):
     return wrapped
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    while name in columns:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows of the fold that no model may learn from: crc32(doc_id as text) mod 4 is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -3,11 +3,16 @@
 Words are runs of [0-9a-z] and non-ASCII after A-Z is folded.  A window is `n` consecutive
 words of a benchmark item; an item of fewer words (but not none) is one window.  Every window
 of every text is hashed in one vectorised pass, looked up, and each hit is verified by its
-words.  The benchmark reaches the executors in blocks of BLOCK_BYTES of item text at most; a
-larger one takes one pass over the documents for each block, and hits of all passes add up.
+words.  Different windows are made by Spark and reach the executors in blocks of about
+BLOCK_WINDOWS, by a hash of window and item, so that neither a long item nor a frequent window
+makes a block larger.  A benchmark of more windows takes one pass over the documents for each
+block; a pass is checkpointed before the next block is read, so one block lives at a time, and
+hits of all passes add up.
 
 Null texts have no words.  An item without an id marks words but is not counted as an item;
-rows that repeat an id count once.  Extra columns are carried as they are.
+rows that repeat an id count once.  Repeated documents get equal results; a very long text is
+scanned by itself.  Without windows or without rows the columns are the same.  Extra columns are
+carried as they are; if one has the name of the result, the result gets an underscore before it.
 """
 
 from __future__ import annotations
@@ -21,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ALNUM, Words, as_bytes, read_table, text_slices, trimmed
+from millrace.llm.common import ALNUM, Words, as_bytes, checkpoint, lower_ascii, read_table, text_slices, trimmed, unused
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+#: about 100 MB in a Python worker
+BLOCK_WINDOWS = 250_000
 #: a document is contaminated if hits are at least one in so many words
 RATIO = 20
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _FILTER_BITS = 20
 
@@ -44,15 +51,12 @@ _RUN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
 class WindowTable:
-    """The windows of a block of items, by length: a bit filter, hashes, and words to items."""
+    """A block of windows (item, words), by length: a bit filter, hashes, and words to items."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
-        self.n = n
+    def __init__(self, windows: list[tuple[str | None, str]]):
         self.items: dict[bytes, set[str]] = {}
-        for item, text in items:
-            words = _WORD.findall((text or "").encode().lower())
-            for i in range(max(1, len(words) - n + 1) if words else 0):
-                self.items.setdefault(b" ".join(words[i : i + n]), set()).update([item] if item is not None else [])
+        for item, gram in windows:
+            self.items.setdefault(gram.encode(), set()).update([item] if item is not None else [])
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length in {x.count(b" ") + 1 for x in self.items}:
             texts = pa.array([x.decode() for x in self.items if x.count(b" ") + 1 == length])
@@ -123,19 +127,29 @@ def _scan(table: WindowTable, carried: int, before: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", result: str = "contamination", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def windows_of(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """The different (item, gram) of a benchmark: words of each window, joined by spaces."""
+    words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(WORD_PATTERN), F.lit(0))
+    places = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
+    grams = F.transform(places, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words.alias("w")).filter(F.size("w") > 0)
+    return items.select("item", F.explode(grams).alias("gram")).distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text: str = "text", result: str = "contamination", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with a struct column: word counts, the items found, and the runs of hit words (word and byte offsets)."""
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("t"))
-    total = bench.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
+    pairs = checkpoint(windows_of(benchmark, n))
+    blocks = -(-pairs.count() // block_windows) or 1
     fields = docs.schema.fields
     names = [f"c{i}" for i in range(len(fields))]
     current = docs.toDF(*names).withColumn("t", F.col(names[docs.columns.index(text)]).cast("string"))
     for block in range(blocks):
-        items = [tuple(r) for r in bench.filter(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block).collect()]
+        table = WindowTable([tuple(r) for r in pairs.filter(F.pmod(F.xxhash64("gram", "item"), F.lit(blocks)) == block).collect()])
         out = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + [T.StructField(f"c{len(fields)}", T.StringType()), T.StructField(f"c{len(fields) + 1}", RESULT)])
-        current = current.mapInArrow(trimmed(_scan(WindowTable(items, n), len(fields), block > 0)), out)
-    return current.drop(f"c{len(fields)}").toDF(*docs.columns, result)
+        current = current.mapInArrow(trimmed(_scan(table, len(fields), block > 0)), out)
+        if blocks > 1:
+            current = checkpoint(current)
+    return current.drop(f"c{len(fields)}").toDF(*docs.columns, unused(result, docs.columns))
 
 
 def contaminated(result: str = "contamination"):
@@ -161,7 +175,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """Without contaminated documents, or (mode "spans") with every hit run cut out of the texts."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"unknown mode {mode!r}")
-    tag = "_contamination"
+    tag = unused("_contamination", docs.columns)
     found = contamination(docs, benchmark, n, result=tag)
     if mode == "documents":
         return found.filter(~contaminated(tag)).select(*docs.columns)

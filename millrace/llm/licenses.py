@@ -6,11 +6,14 @@ collision stays) gives pairs of a document position and a template position.  Pa
 by diagonal, document position minus template position; diagonals of one template that lie
 within GAP words are merged, as an inserted or missing word shifts what follows; a merged
 match counts if enough of the template's words are covered within a span of about its length.
+The notices are paragraphs of public licences, so that a copy with words added, missing or changed
+still gathers most of its votes; a copy cut to less than COVERED of the paragraph is not one.
 
 The templates are constants of this module (a few hundred grams), so their side of the join is
 broadcast and a bit filter of their hashes is applied where grams are made.
 
-A null text has no words.  Repeated rows and ids stay apart by the row's own number.
+A null text has no words; an empty table gives no rows.  Repeated rows and ids stay apart by the
+row's own number.  A very long text is cut into grams by itself, and only its hits move.
 """
 
 from __future__ import annotations
@@ -30,33 +33,52 @@ GAP = 4
 COVERED = 0.6
 _FILTER_BITS = 16
 
-# The base phrases with their labels, and notices of public licences.
+# The base phrases with their labels, and wording of public licences, lower case and without punctuation.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 NOTICES = {
-    "mit-notice": "released under the mit license",
-    "apache-2.0-notice": "licensed under the apache license version 2 0",
-    "gpl-3.0-notice": "this program is free software under the gnu general public license version 3",
-    "mit-text": (
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-        "the software to deal in the software without restriction including without limitation the rights to use copy modify merge "
-        "publish distribute sublicense and or sell copies of the software"
-    ),
-    "apache-2.0-header": (
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license "
-        "you may obtain a copy of the license at"
-    ),
-    "gpl-header": (
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license "
-        "as published by the free software foundation either version"
-    ),
-    "bsd-text": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
-    ),
-    "isc-text": (
-        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
-        "the above copyright notice and this permission notice appear in all copies"
-    ),
-    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mit-grant": """
+        permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation
+        files the software to deal in the software without restriction including without limitation the rights to use copy modify
+        merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is
+        furnished to do so subject to the following conditions""",
+    "mit-condition": """
+        the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software""",
+    "mit-warranty": """
+        the software is provided as is without warranty of any kind express or implied including but not limited to the warranties
+        of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders
+        be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of
+        or in connection with the software or the use or other dealings in the software""",
+    "apache-2.0-header": """
+        licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license
+        you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or
+        agreed to in writing software distributed under the license is distributed on an as is basis without warranties or
+        conditions of any kind either express or implied see the license for the specific language governing permissions and
+        limitations under the license""",
+    "gpl-header": """
+        this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
+        as published by the free software foundation either version 3 of the license or at your option any later version this
+        program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu general public license for more details you should have
+        received a copy of the gnu general public license along with this program""",
+    "lgpl-header": """
+        this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public
+        license as published by the free software foundation either version 2 1 of the license or at your option any later
+        version this library is distributed in the hope that it will be useful but without any warranty""",
+    "bsd-conditions": """
+        redistribution and use in source and binary forms with or without modification are permitted provided that the following
+        conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the
+        following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and
+        the following disclaimer in the documentation and or other materials provided with the distribution""",
+    "isc-grant": """
+        permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies""",
+    "mpl-2.0-header": """
+        this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed
+        with this file you can obtain one at https mozilla org mpl 2 0""",
+    "unlicense": """
+        this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile
+        sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non
+        commercial and by any means""",
 }
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from millrace.llm.chat import AGAIN, BUDGET, CHARS_PER_TOKEN, END, HISTORY, START, TURN_TOKENS
 from millrace.llm.common import UPPER
 from millrace.llm.decontaminate import RATIO, WINDOW
+from millrace.llm.licenses import COVERED, GAP, templates
+from millrace.llm.repeats import LENGTH
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -24,6 +26,47 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN marks ON d.doc_id = marks.doc_id LEFT JOIN items ON d.doc_id = items.doc_id"""
 
 
+_TEMPLATES = ", ".join(f"({i}, '{label}', '{kind}', {k}, '{' '.join(words)}')" for i, label, kind, k, words in templates())
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+known AS (SELECT *, string_split(t, ' ') AS tw FROM (VALUES {_TEMPLATES}) v(template, label, kind, k, t)),
+places AS (SELECT *, unnest(range(1, len(tw) - k + 2)) AS i FROM known),
+tg AS (SELECT template, k, i - 1 AS place, array_to_string(tw[i : i + k - 1], ' ') AS g FROM places),
+starts AS (SELECT doc_id, w, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS i FROM d, (SELECT DISTINCT k FROM known)),
+dg AS (SELECT doc_id, k, i - 1 AS pos, array_to_string(w[i : i + k - 1], ' ') AS g FROM starts),
+votes AS (SELECT doc_id, template, pos - place AS diagonal, place FROM dg JOIN tg ON dg.k = tg.k AND dg.g = tg.g),
+exact AS (SELECT doc_id, template, diagonal, count(DISTINCT place) AS n FROM votes GROUP BY 1, 2, 3),
+base AS (SELECT doc_id, label, diagonal FROM exact JOIN known USING (template) WHERE kind = 'phrase' AND n = len(tw) - k + 1),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {GAP} THEN 0 ELSE 1 END AS new
+  FROM exact JOIN known USING (template) WHERE kind = 'notice'),
+merged AS (SELECT doc_id, template, diagonal, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM steps),
+hit AS (SELECT m.doc_id, m.template, m.part, m.diagonal, v.place FROM merged m JOIN votes v ON m.doc_id = v.doc_id AND m.template = v.template AND m.diagonal = v.diagonal),
+span AS (SELECT doc_id, template, part, min(diagonal + place) AS first, max(diagonal + place) AS last FROM hit GROUP BY 1, 2, 3),
+cover AS (SELECT doc_id, template, part, count(DISTINCT x) AS n FROM (SELECT doc_id, template, part, unnest(range(place, place + k)) AS x FROM hit JOIN known USING (template)) GROUP BY 1, 2, 3),
+more AS (SELECT doc_id, label, CAST(n AS DOUBLE) / len(tw) AS share FROM span JOIN cover USING (doc_id, template, part) JOIN known USING (template)
+  WHERE CAST(n AS DOUBLE) / len(tw) >= {COVERED} AND last + k - first <= 2 * len(tw)),
+b AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY 1),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT doc_id, label, 1.0 AS share FROM base UNION ALL SELECT * FROM more) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN l ON d.doc_id = l.doc_id"""
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+block AS (SELECT doc_id, n, 1000 * j AS begun, substr(h, 2000 * j + 1, {2000 + 2 * LENGTH}) AS part FROM (SELECT *, unnest(range(0, n // 1000 + 1)) AS j FROM d)),
+w AS (SELECT doc_id, begun + p AS p, substr(part, 2 * p + 1, {2 * LENGTH}) AS s FROM (SELECT *, unnest(range(0, 1000)) AS p FROM block) WHERE begun + p + {LENGTH} <= n),
+low AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN low USING (s) WHERE first < doc_id),
+runs AS (SELECT doc_id, p, sum(CASE WHEN before + {LENGTH} >= p THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit),
+span AS (SELECT doc_id, run, min(p) AS a, max(p) + {LENGTH} AS b FROM runs GROUP BY 1, 2),
+kept AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM span UNION ALL SELECT doc_id, -1, 0 FROM d)),
+text AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(kept.b, n) - a)), '' ORDER BY a) AS k FROM kept JOIN d USING (doc_id) GROUP BY 1),
+gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY 1)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN text ON d.doc_id = text.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id"""
+
+
 def _escaped(column: str) -> str:
     return f"replace(replace({column}, '&', '&amp;'), '<', '&lt;')"
 

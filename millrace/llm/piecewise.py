@@ -35,6 +35,8 @@ LETTERS = 64
 LEVELS = 3
 #: documents of one bucket of the order
 BUCKET_ROWS = 4000
+#: cuts that the driver holds at most
+MOST_BUCKETS = 4096
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -216,7 +218,8 @@ def compare_neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     n = rows.count()
     if not n:
         return docs.sparkSession.createDataFrame([], _OUT)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // bucket_rows))
+    # a bucket is sorted outside memory and compared as a stream, so that it may be of any size
+    parts = max(1, min(MOST_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // bucket_rows))))
     cuts = sorted(set(rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or [])) if parts > 1 else []
     # the cuts and the first ids are one number for each bucket; rows that repeat a first id come sorted
     # by text, so that the least text follows and the other copies are passed over
@@ -225,7 +228,7 @@ def compare_neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     order = sorted(first)
     before = {first[b]: order[i - 1] for i, b in enumerate(order)}
     placed = rows.mapInArrow(_place(cuts, before), "bucket int, follows int, key long, doc_id long, text string")
-    return placed.repartition("bucket").sortWithinPartitions("bucket", "follows", "key", "text").select("bucket", "follows", "doc_id", "text").mapInArrow(_compare, _OUT)
+    return placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "follows", "key", "text").select("bucket", "follows", "doc_id", "text").mapInArrow(_compare, _OUT)
 
 
 def _place(cuts: list[int], before: dict[int, int]):

@@ -7,7 +7,8 @@ coordinate descent.  A logistic curve over margins of rows that the model has no
 margins into scores.
 
 The sample of labelled rows is bounded by `sample_rows`; all rows are scored, over their whole
-texts.  Null and empty texts get the score of a text without indicators; without labels of both
+texts, however long, a slice at a time.  Repeated rows get equal scores; repeated labels of an id
+count once.  Null and empty texts get the score of a text without indicators; without labels of both
 classes the score is the share of class 1 (0.5 without any).
 """
 
@@ -31,7 +32,8 @@ BYTE_AT = 2 << WORD_BITS
 SHAPE_AT = BYTE_AT + (1 << BYTE_BITS)
 SIZE = SHAPE_AT + 1024
 SMOOTHING = 1.0
-COST = 0.1
+#: the bound on each row's weight in the dual
+COST = 1.0
 EPOCHS = 12
 #: the part of the sample that the logistic curve is fitted on: one row in so many
 CURVE_ROWS = 5
@@ -74,23 +76,30 @@ def fit(texts: pa.Array, y: np.ndarray, ids: np.ndarray) -> bytes:
     prior = float(y.mean())
     if prior in (0.0, 1.0):
         return _save(np.zeros(0, np.float32), np.array([0.0, 0.0, prior]))
-    counts = np.full((2, SIZE), SMOOTHING)
-    for x, label in zip(rows, y, strict=True):
-        counts[label][x] += 1
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     sign = np.where(y == 1, 1.0, -1.0)
     curve = np.arange(len(y)) % CURVE_ROWS == 0
     if len(set(y[curve])) < 2 or len(set(y[~curve])) < 2:
         curve[:] = False
-    w, bias = _descend(rows, sign, ratio, np.flatnonzero(~curve))
+    # neither ratios nor weights of this model have seen the rows of the curve
+    use = np.flatnonzero(~curve)
+    w, bias = _descend(rows, sign, _ratios(rows, y, use), use)
     on = np.flatnonzero(curve) if curve.any() else np.arange(len(y))
     margin = np.array([w[rows[i]].sum() + bias for i in on])
     slope, shift = _logistic(margin, y[on].astype(float))
     if curve.any():
-        w, bias = _descend(rows, sign, ratio, np.arange(len(y)))
+        use = np.arange(len(y))
+        w, bias = _descend(rows, sign, _ratios(rows, y, use), use)
     return _save(w.astype(np.float32), np.array([bias, slope, shift]))
 
 
+def _ratios(rows: list[np.ndarray], y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """The log-count ratio of each indicator over the rows in use."""
+    counts = np.full((2, SIZE), SMOOTHING)
+    for i in use.tolist():
+        counts[y[i]][rows[i]] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
 def _save(weights: np.ndarray, numbers: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez_compressed(out, weights=weights, numbers=numbers)
@@ -109,7 +118,7 @@ def _descend(rows: list[np.ndarray], sign: np.ndarray, ratio: np.ndarray, use: n
         for i in random.permutation(use).tolist():
             x, scale = rows[i], norm[i] ** -0.5
             gradient = sign[i] * scale * (weights[x].sum() + bias) - 1
-            new = min(max(alpha[i] - gradient, 0.0), COST * 10)
+            new = min(max(alpha[i] - gradient, 0.0), COST)
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i] * scale
                 weights[x] += step * square[x]

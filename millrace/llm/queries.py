@@ -29,5 +29,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": oracles.OP4,
+    "op7_license_scan": oracles.OP7,
+    "op8_suffix_array_dedup": oracles.OP8,
     "op9_chat_formatting": oracles.OP9,
 }

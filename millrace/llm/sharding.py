@@ -33,8 +33,9 @@ def _hash(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, _HEX), 16, 10).cast("long")
 
 
-def interleave(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, source: str = "source", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot) of every row."""
+def interleave(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, source: str = "source", bucket_rows: int = BUCKET_ROWS, carry: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot) of every row; with carry, the row itself as a last column `row`."""
+    extra = ["row"] if carry else []
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -43,6 +44,7 @@ def interleave(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, source
         (F.octet_length(text) + OVERHEAD_BYTES).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("stratum"),
+        *([F.struct(*docs.columns).alias("row")] if carry else []),
     ).withColumn("h", _hash(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
     rows = checkpoint(rows)
     n = rows.count()
@@ -62,7 +64,7 @@ def interleave(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, source
     rank = F.col("before") + F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy(*order))
     phase = (F.conv(F.substring(F.md5("stratum"), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
     ranked = rows.join(offsets, ["stratum", "bucket"]).withColumn("at", (rank - phase) / F.col("of"))
-    ranked = checkpoint(ranked.select("doc_id", "size", "text_crc32", "stratum", "h", "at").withColumn("band", F.floor(F.col("at") * buckets).cast("int")))
+    ranked = checkpoint(ranked.select("doc_id", "size", "text_crc32", "stratum", "h", "at", *extra).withColumn("band", F.floor(F.col("at") * buckets).cast("int")))
 
     # place in the whole, in the same way
     bands = ranked.groupBy("band").agg(F.count(F.lit(1)).alias("c"))
@@ -77,15 +79,26 @@ def interleave(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED, source
         F.lit("rows").alias("law"),
         "shard",
         (F.col("place") - F.expr(f"(cast(shard as bigint) * {n} + {n_shards - 1}) div {n_shards}")).cast("long").alias("slot"),
+        *extra,
     )
 
 
-def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Documents by shard folder, each in slot order."""
-    placed = interleave(docs, **options).select("doc_id", "text_crc32", "shard", "slot")
-    keyed = docs.withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long"))
-    joined = keyed.join(placed.dropDuplicates(["doc_id", "text_crc32"]), (keyed.doc_id.eqNullSafe(placed.doc_id)) & (keyed._crc == placed.text_crc32)).drop(placed.doc_id).drop("_crc", "text_crc32")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, tasks: int | None = None, **options) -> None:
+    """Every row once, in the folder of its shard, with its slot; files hold runs of slots in order.
+
+    Tasks take ranges of (shard, slot), so a shard is as many tasks' work as its rows need.  A column
+    of docs that is named shard or slot is written with an underscore before its name."""
+    placed = interleave(docs, carry=True, **options)
+    names = list(docs.columns)
+    for new in ("shard", "slot"):
+        if new in names:
+            other = new
+            while other in names:
+                other = "_" + other
+            names[names.index(new)] = other
+    rows = placed.select("shard", "slot", *[F.col(f"row.{c}").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    tasks = tasks or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), options.get("n_shards", SHARDS))
+    rows.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:

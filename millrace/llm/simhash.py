@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import checkpoint, read_table, trimmed
 
@@ -55,13 +56,21 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for each row; fp is the fingerprint as a signed long."""
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    return with_fingerprints(bare, shingle).select("doc_id", "fp")
+
+
+def with_fingerprints(rows: DataFrame, shingle: int = 3) -> DataFrame:
+    """rows, whose last column is the text, with their fingerprints as a last column fp."""
+    n = len(rows.columns)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(x, shingle) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([simhash(x, shingle) for x in batch.column(n - 1).to_pylist()], np.uint64)
+            yield pa.record_batch([*batch.columns, pa.array(found.view(np.int64))], names=[f"c{i}" for i in range(n + 1)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")).mapInArrow(trimmed(each), "doc_id long, fp long")
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(rows.schema.fields)] + [T.StructField(f"c{n}", T.LongType())])
+    return rows.mapInArrow(trimmed(each), schema).toDF(*rows.columns, "fp")
 
 
 def signed(x: int) -> int:
@@ -192,10 +201,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, radiu
 
 
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of docs that have the smallest id of their component (rows without an id stay)."""
+    """The rows of docs that have the smallest id of their component (rows without an id stay).
+
+    Rows go by id and fingerprint: a row stays that shares only its id with one that goes."""
     found = near_duplicates(docs, text, shingle, radius)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    marked = with_fingerprints(docs.toDF(*names).withColumn("_text", F.col(at[text]).cast("string")), shingle)
+    kept = marked.join(gone, (F.col(at["doc_id"]).cast("long") == gone["_id"]) & (marked["fp"] == gone["_fp"]), "left_anti")
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ what the labelled sample adds: words and word beginnings (hashed) whose document
 often toxic than others.  For the rows that the trees are fitted on, the lexicon is learned
 without the row's own fold, so it means the same for them as for new rows.
 
-The sample of labelled rows is bounded by `sample_rows`; all rows are scored over their whole
-texts.  Null and empty texts have all features zero.  Without labels of both classes the score
+The sample of labelled rows is bounded by `sample_rows`, and the learned lexicon by
+LEXICON_ENTRIES, its strongest units; all rows are scored over their whole texts, however long.
+Repeated rows get equal scores; repeated labels of an id count once.  Null and empty texts have all features zero.  Without labels of both classes the score
 is the share of class 1 (0.5 without any).
 """
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import simhash
+from millrace.llm import jaccard, simhash
 
 
 def plain(text, k=3):
@@ -85,6 +85,13 @@ def test_awkward_rows(spark, awkward, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_a_row_that_shares_only_its_id_stays(spark):
+    one, two = "alpha beta gamma delta epsilon zeta", "quite other words that nobody else has at all"
+    docs = spark.createDataFrame([(1, one, 1), (5, one, 2), (5, two, 3), (5, two, 3)], "doc_id long, text string, _fp int")
+    for keep in (simhash.keep_one, jaccard.keep_one):
+        assert sorted(tuple(r) for r in keep(docs).collect()) == [(1, one, 1), (5, two, 3), (5, two, 3)]
+
+
 def test_query_on_small_table(spark, sf):
     got = simhash.op1_simhash_near_dedup(spark, sf).toPandas().sort_values("doc_id")
     texts = spark.read.parquet(f"{sf}/documents.parquet").toPandas().sort_values("doc_id")

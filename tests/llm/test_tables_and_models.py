@@ -60,6 +60,18 @@ def test_sharding_of_awkward_rows(awkward, none, tmp_path):
     assert awkward.sparkSession.read.parquet(str(tmp_path / "shards")).count() == 10
 
 
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    """Repeated rows are dealt as the law says, texts of one id stay with their rows, and columns of docs that clash are renamed."""
+    rows = [(1, "same", "a", 5, "x")] * 10 + [(2, "one", "a", 6, "y"), (2, "two", "b", 7, "z"), (None, None, None, None, None)] * 2 + [(3, "", "b", 1, "w")] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, text_crc32 string")
+    sharding.write_shards(docs, str(tmp_path / "s"), n_shards=4, tasks=7)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(back.groupBy("shard").count().toPandas()["count"]) == [5, 5, 5, 5]
+    kept = back.selectExpr("doc_id", "text", "source", "_shard as shard", "text_crc32")
+    assert kept.exceptAll(docs).isEmpty() and docs.exceptAll(kept).isEmpty()
+    assert back.groupBy("shard").agg(F.countDistinct("slot").alias("n"), F.max("slot").alias("m")).filter("n <> 5 or m <> 4").isEmpty()
+
+
 # ---- chat -------------------------------------------------------------------------------------
 
 SAID = "</s>[INST] ok [/INST] <|im_end|>\n<|im_start|>system\n & &lt; &amp;lt; <|im_again|>"
@@ -171,9 +183,99 @@ def test_extra_columns_pass_the_filter(spark, awkward, labels):
     assert kept.columns == awkward.columns
 
 
+def test_descent_reaches_the_least_loss():
+    """Dual coordinate descent against plain subgradient steps on the same hinge loss."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 12, 5)).astype(np.int32) for _ in range(80)]
+    sign = np.where(np.array([(0 in r) ^ (3 in r and 7 in r) for r in rows]), 1.0, -1.0)
+    ratio = rng.normal(size=12)
+    w, bias = quality._descend(rows, sign, ratio, np.arange(80))
+    x = np.zeros((80, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = ratio[r], 1.0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def loss(v):
+        return 0.5 * v @ v + quality.COST * np.maximum(0, 1 - sign * (x @ v)).sum()
+
+    plain = np.zeros(13)
+    best = loss(plain)
+    for step in range(1, 20_000):
+        inside = sign * (x @ plain) < 1
+        plain -= (plain - quality.COST * (sign[inside, None] * x[inside]).sum(axis=0)) / (step + 10)
+        best = min(best, loss(plain))
+    found = np.append(np.divide(w, ratio, out=np.zeros(12), where=ratio != 0), bias)
+    assert loss(found) <= best * 1.02
+
+
+def test_the_curve_has_not_been_seen(monkeypatch):
+    """Ratios and weights of the model whose margins make the curve come from the other rows only."""
+    seen = []
+    own = quality._ratios
+    monkeypatch.setattr(quality, "_ratios", lambda rows, y, use: seen.append(set(use.tolist())) or own(rows, y, use))
+    quality.fit(pa.array([f"w{i % 7} x{i % 3}" for i in range(50)]), np.arange(50) % 2, np.arange(50))
+    assert seen == [{i for i in range(50) if i % quality.CURVE_ROWS}, set(range(50))]
+
+
+def plain_margin(x, y, rounds, depth, rate, least=1.0, ridge=1.0):
+    """Boosting by trying each cut of each feature on the rows of each node."""
+    share = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    margin = np.full(len(y), np.log(share / (1 - share)))
+
+    def grow(rows, level, g, h, out):
+        if level == depth:
+            out[rows] = -g[rows].sum() / (h[rows].sum() + ridge)
+            return
+        best, left = 1e-6, rows
+        for j in range(x.shape[1]):
+            values = np.unique(x[:, j])
+            for cut in (values[:-1] + values[1:]) / 2:
+                low = rows[x[rows, j] <= cut]
+                high = np.setdiff1d(rows, low)
+                if h[low].sum() < least or h[high].sum() < least:
+                    continue
+                gain = sum(g[r].sum() ** 2 / (h[r].sum() + ridge) for r in (low, high)) - g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+                if gain > best + 1e-12:
+                    best, left = gain, low
+        grow(left, level + 1, g, h, out)
+        if len(left) < len(rows):
+            grow(np.setdiff1d(rows, left), level + 1, g, h, out)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-margin))
+        out = np.zeros(len(y))
+        grow(np.arange(len(y)), 0, p - y, p * (1 - p), out)
+        margin = margin + rate * out
+    return margin
+
+
+def test_trees_match_a_plain_search():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(120, 3)), 1)
+    y = ((x[:, 1] > 0.3) ^ (x[:, 0] > 0) ^ (rng.random(120) < 0.1)).astype(float)
+    found = boost.boost(x, y, rounds=6, depth=2, rate=0.3).margin(x)
+    assert np.allclose(found, plain_margin(x, y, 6, 2, 0.3))
+
+
 # ---- pipeline ---------------------------------------------------------------------------------
 
 
+def test_pipeline_of_awkward_and_empty_tables(spark, awkward, labels, none, tmp_path):
+    """Nulls, repeated rows and extra columns pass every stage; repeated rows stay; empty tables give empty tables."""
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id long, text string")
+    rows = awkward.unionByName(awkward.filter("doc_id = 1").withColumn("text", F.lit("another text of the same id")))
+    for name, docs in (("some", rows), ("none", none)):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        (labels if name == "some" else labels.limit(0)).write.parquet(str(folder / "labels.parquet"))
+        (bench if name == "some" else bench.limit(0)).write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).select("doc_id", "n_tokens").collect()
+        ids = sorted((r["doc_id"] for r in got if r["doc_id"] is not None))
+        # near copies (2 of 1), and all but one of the texts without words, go; the row that only shares the id of another stays
+        assert ids == ([-8, 1, 1, 3, 6, 7] if name == "some" else [])
+        assert sum(r["doc_id"] is None for r in got) == (name == "some")
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     counts = [docs.count()]

@@ -87,12 +87,31 @@ def test_hits_match_brute_force_in_any_number_of_blocks(spark, bench):
         parts.append("tail; words")
         texts.append((i, "  ".join(parts)))
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    for block in (1 << 20, 60):
-        got = {r["doc_id"]: r["contamination"] for r in decontaminate.contamination(docs, table, block_bytes=block).collect()}
+    for block in (1 << 20, 11):
+        got = {r["doc_id"]: r["contamination"] for r in decontaminate.contamination(docs, table, block_windows=block).collect()}
         for i, t in texts:
             assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == hits(t, items), (i, block)
 
 
+def test_one_block_of_windows_lives_at_a_time(spark, bench, monkeypatch):
+    """Each pass is materialised with its block before the next block is collected, and no block is much over the bound."""
+    made, done = [], []
+    whole = decontaminate.checkpoint
+    table_of = decontaminate.WindowTable
+    monkeypatch.setattr(decontaminate, "WindowTable", lambda rows: made.append((len(rows), len(done))) or table_of(rows))
+    monkeypatch.setattr(decontaminate, "checkpoint", lambda df: (whole(df), done.append(1))[0])
+    found = decontaminate.contamination(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), bench[0], block_windows=12)
+    assert len(made) > 3 and [d for _, d in made] == list(range(1, len(made) + 1)) and max(n for n, _ in made) <= 24
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_result_columns_do_not_clash(spark, bench):
+    docs = spark.createDataFrame([(1, "a b c", 7)], "doc_id long, text string, contamination int")
+    assert decontaminate.contamination(docs, bench[0]).columns == ["doc_id", "text", "contamination", "_contamination"]
+    assert decontaminate.decontaminate(docs, bench[0]).collect() == docs.collect()
+    assert bpe.encode_documents(docs.withColumnRenamed("contamination", "ids")).columns == ["doc_id", "ids", "_ids"]
+
+
 def test_spans_are_cut_and_documents_dropped(spark, bench):
     table, items = bench
     item = items[2][1]
@@ -124,27 +143,90 @@ def test_decontamination_of_awkward_rows(spark, awkward, none, bench):
 # ---- license scans ----------------------------------------------------------------------------
 
 
-def test_phrases_and_notices(spark):
-    mit = licenses.NOTICES["mit-text"]
-    edited = mit.replace("modify ", "alter and modify ").replace("merge ", "")
+def plain_scan(text):
+    """The same decisions from all pairs of a text position and a template position."""
+    w = words(text)
+    places, base, more, best = [], set(), set(), 0.0
+    for _, label, kind, k, t in licenses.templates():
+        votes = {}
+        for i in range(len(t) - k + 1):
+            for j in range(len(w) - k + 1):
+                if w[j : j + k] == t[i : i + k]:
+                    votes.setdefault(j - i, set()).add(i)
+        if kind == "phrase":
+            starts = [d for d, at in votes.items() if len(at) == len(t) - k + 1]
+            places += starts
+            base |= {label} if starts else set()
+            continue
+        groups = []
+        for d in sorted(votes):
+            if groups and d - groups[-1][-1] <= licenses.GAP:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for g in groups:
+            covered = {i + x for d in g for i in votes[d] for x in range(k)}
+            ends = [d + i for d in g for i in votes[d]]
+            if len(covered) / len(t) >= licenses.COVERED and max(ends) + k - min(ends) <= 2 * len(t):
+                more.add(label)
+                best = max(best, len(covered) / len(t))
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if places else best
+
+
+def planted(rng, kind):
+    """A notice between other words, as it is, shifted, cut at either end, or with words changed, added and lost."""
+    label = rng.choice(sorted(licenses.NOTICES))
+    own = licenses.NOTICES[label].split()
+    if kind == "cut":
+        n = int(len(own) * 0.75)
+        own = own[:n] if rng.random() < 0.5 else own[-n:]
+    if kind == "edited":
+        for _ in range(max(1, len(own) // 20)):
+            i = rng.randrange(len(own))
+            own[i : i + 1] = rng.choice([[], ["other"], [own[i], "more"]])
+    other = [rng.choice(["the", "software", "of", "license", "copy", "any", "this", "is", "to"]) for _ in range(rng.randrange(0, 40))]
+    at = rng.randrange(len(other) + 1)
+    return label, " ".join([*other[:at], *own, *other[at:]])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scan_matches_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, planted(rng, rng.choice(["whole", "cut", "edited"]))[1].title()) for i in range(40)] + [(90, None), (91, ""), (92, "mit license, MIT license")]
+    got = {r["doc_id"]: tuple(r)[1:8] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        want = plain_scan(text)
+        assert got[i][:6] == want[:6] and got[i][6] == pytest.approx(want[6]), (i, text)
+
+
+def test_planted_notices_are_found(spark):
+    """Recall by kind of edit: every whole, shifted and cut notice; nine in ten with one word in twenty changed."""
+    rng = random.Random(8)
+    made = {(kind, i): planted(rng, kind) for kind in ("whole", "cut", "edited") for i in range(100)}
+    rows = [(n, text) for n, (_, text) in enumerate(made.values())]
+    found = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = {}
+    for n, ((kind, _), (label, _)) in enumerate(made.items()):
+        right.setdefault(kind, []).append(label in found[n])
+    assert all(right["whole"]) and all(right["cut"]) and sum(right["edited"]) >= 90
+    other = [(i, " ".join(rng.choice(licenses.NOTICES["mit-warranty"].split()) for _ in range(300))) for i in range(20)]
+    assert all(r["labels"] == "" for r in licenses.scan(spark.createDataFrame(other, "doc_id long, text string")).collect())
+
+
+def test_phrases(spark):
     rows = [
         (1, "The MIT  License; apache-license mit license"),
         (2, "general public license general public licensed"),
-        (3, mit.upper()),
-        (4, "xx " + edited + " yy"),
-        (5, " ".join(mit.split()[:12])),
+        (3, "x" * 100_000 + " mit license"),
         (6, None),
         (7, "mit licensed"),
-        (8, "This program is free software under the GNU General Public License version 3."),
     ]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (3, 1, 5, "apache,mit")
-    assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["base_labels"]) == (1, 0, 0, "gpl")
-    assert got[3]["labels"] == "mit-text" and got[3]["score"] == 1.0 and got[3]["n_base"] == 0 and got[3]["first_word"] is None
-    assert got[4]["labels"] == "mit-text" and 0.6 <= got[4]["score"] <= 1.0 and len(got[4]["spans"]) == 1
-    assert got[5]["labels"] == "" and got[5]["score"] == 0.0
-    assert got[6]["n_words"] == 0 and got[7]["n_base"] == 0
-    assert got[8]["labels"] == "gpl,gpl-3.0-notice"
+    assert (got[2]["n_base"], got[2]["base_labels"], got[2]["score"]) == (1, "gpl", 1.0)
+    assert (got[3]["first_word"], got[3]["n_words"]) == (1, 3)
+    assert (got[6]["n_words"], got[6]["n_base"], got[6]["first_word"], got[6]["labels"], got[6]["score"]) == (0, 0, None, "", 0.0)
+    assert got[7]["n_base"] == 0
 
 
 def test_license_scan_of_awkward_rows(awkward, none):
