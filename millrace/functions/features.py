@@ -44,18 +44,25 @@ def json_number(x: Column) -> Column:
 def categories(train: DataFrame, columns: list[str] = CATEGORICAL) -> DataFrame:
     """(column, values): the sorted categories of each column; null counts as unknown."""
     long = train.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")) for c in columns])).alias("x")).select("x.*")
-    return long.groupBy("column").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    return long.distinct().groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+
+
+#: a column of more values is no category of a model
+MOST_CATEGORIES = 10_000
 
 
 def category_map(train: DataFrame, columns: list[str] = CATEGORICAL) -> dict[str, list[str]]:
-    """The same on the driver, for a model's metadata; a categorical column of a model has few values."""
+    """The same on the driver, for a model's metadata; a column of over MOST_CATEGORIES values is refused before any is brought there."""
+    counts = train.agg(*[F.countDistinct(F.col(c).cast("string")).alias(c) for c in columns]).first().asDict()
+    if wide := [c for c, n in counts.items() if n > MOST_CATEGORIES]:
+        raise ValueError(f"too many values for categories: {wide}")
     return {r["column"]: r["values"] for r in categories(train, columns).collect()}
 
 
 def ordinal(column: str, values: list[str]) -> Column:
     """The place of the value in the sorted categories; -1 if it is not among them."""
-    place = F.array_position(F.array(*[F.lit(v) for v in values]), F.coalesce(F.col(column).cast("string"), F.lit("unknown")))
-    return (F.coalesce(place, F.lit(0)) - 1).cast("long")
+    places = F.create_map(*[F.lit(x) for i, v in enumerate(values) for x in (v, i)]) if values else F.lit(None).cast("map<string,int>")
+    return F.coalesce(F.try_element_at(places, F.coalesce(F.col(column).cast("string"), F.lit("unknown"))), F.lit(-1)).cast("long")
 
 
 def encode(df: DataFrame, maps: dict[str, list[str]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.spec import DEFAULTS, FEATURE_NAMES, FEATURES
@@ -45,9 +45,15 @@ def unambiguous_last(rows: DataFrame, key: str, ts: str) -> DataFrame:
     return last.withColumn("_n", F.count(F.lit(1)).over(whole)).filter("_n = 1").drop("_max", "_n")
 
 
-def lookup(requests: DataFrame, store: DataFrame, key: str = "card_id") -> DataFrame:
-    """Requests with the stored features of their key; a key that is not stored has every default and found = false."""
-    stored = store.select(key, F.lit(True).alias("_found"), *FEATURE_NAMES)
-    joined = requests.join(stored, key, "left")
+def lookup(requests: DataFrame, store: DataFrame, key: str = "card_id", at: Column | None = None, ttl_seconds: int | None = None) -> DataFrame:
+    """Requests with the stored features of their key; a key that is not stored has every default and found = false.
+
+    With a time to live, a row committed longer than that before `at` (seconds, a column of the requests) counts as absent."""
+    stored = store.select(key, F.lit(True).alias("_found"), *(["committed_ts"] if ttl_seconds is not None else []), *FEATURE_NAMES)
+    asked = requests if ttl_seconds is None else requests.withColumn("_at", at)
+    joined = asked.join(stored, key, "left")
+    if ttl_seconds is not None:
+        fresh = F.col("committed_ts") >= F.col("_at") - ttl_seconds
+        joined = joined.withColumns({c: F.when(fresh, F.col(c)) for c in ("_found", *FEATURE_NAMES)})
     filled = [F.coalesce(F.col(f.name), F.lit(DEFAULTS[f.name])).cast(f.spark_type).alias(f.name) for f in FEATURES]
     return joined.select(*requests.columns, F.coalesce("_found", F.lit(False)).alias("found"), *filled)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.features import calendar, ondemand
 from millrace.operators.asof import asof_join, lost_rows
+from millrace.operators.ordered import quantiles
 from millrace.operators.windows import require, seconds, tie_rank, trailing_features
+from millrace.sources.events import cached_or_built
 from millrace.spec import FEATURE_NAMES, FEATURES, MODEL_INPUTS
 
 TTL_SECONDS = 8 * 86400
@@ -91,6 +93,19 @@ def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.withColumn("is_constant", F.col("n_values") <= 1)
 
 
+def no_dead_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df, if none of the columns is constant; else an error that names those that are."""
+    dead = [r["column"] for r in constant_columns(df, columns).filter("is_constant").orderBy("column").collect()]
+    if dead:
+        raise ValueError(f"constant columns: {dead}")
+    return df
+
+
+def write_training_set(events: DataFrame, path: str, table: DataFrame | None = None, rebuild: bool = False) -> DataFrame:
+    """The checked training set at path, built and written if it is not there or if asked to."""
+    return cached_or_built(events.sparkSession, path, lambda: checked(events, training_set(events, table)), rebuild)
+
+
 def class_weight(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     """Negatives over positives."""
     positive = F.count(F.when(F.col(label) == 1, 1))
@@ -104,4 +119,5 @@ def label_csv(df: DataFrame, columns: list[str], label: str = "is_fraud") -> Dat
 
 def median_gap(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", key: str = "transaction_id") -> DataFrame:
     gap = seconds(ts) - F.lag(seconds(ts)).over(Window.partitionBy(entity).orderBy(seconds(ts), key))
-    return events.select(gap.alias("gap")).agg(F.median("gap").alias("median_gap"))
+    found = quantiles(events.select(gap.alias("gap")), "gap", [0.5])
+    return events.sparkSession.createDataFrame([tuple(found)], "median_gap double")

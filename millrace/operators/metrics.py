@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import running_sums
+from millrace.operators.ordered import quantiles, running_sums
+from millrace.storage import checkpoint
 
 PERCENTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
 def curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row per distinct score: its positives and negatives, and those at or above it."""
-    points = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.sum(1 - F.col(label).cast("long")).alias("fp"))
+    points = checkpoint(df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.sum(1 - F.col(label).cast("long")).alias("fp")))
     return running_sums(points, "score", {"tps": "tp", "fps": "fp"}, descending=True)
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """Average precision (a step sum), ROC AUC, best precision at recall 0.5 or more, best recall at precision 0.9 or more (0 if none)."""
     points = curve(df, score, label)
-    totals = df.agg(F.sum(F.col(label).cast("long")).alias("positives"), F.sum(1 - F.col(label).cast("long")).alias("negatives"))
+    totals = points.agg(F.sum("tp").alias("positives"), F.sum("fp").alias("negatives"))
     at = points.join(F.broadcast(totals))  # one row of totals
     precision, recall = F.col("tps") / (F.col("tps") + F.col("fps")), F.col("tps") / F.col("positives")
     return at.agg(
@@ -40,8 +41,9 @@ def baselines(df: DataFrame, label: str = "is_fraud", amount: str = "amount", ke
 
 
 def latency_profile(df: DataFrame, value: str) -> DataFrame:
-    """Exact interpolating percentiles with mean, max and count."""
-    return df.agg(*[F.percentile(value, q).alias(n) for n, q in PERCENTILES.items()], F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("n"))
+    """Exact interpolating percentiles with mean, max and count; no task sees all values."""
+    found = quantiles(df, value, list(PERCENTILES.values()))
+    return df.agg(*[F.lit(x).cast("double").alias(n) for n, x in zip(PERCENTILES, found, strict=True)], F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("n"))
 
 
 def merged_latency(parts: list[DataFrame], value: str) -> DataFrame:

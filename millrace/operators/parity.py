@@ -11,8 +11,11 @@ from millrace.spec import FEATURES
 EXAMPLES = 5
 
 
-def _differs(name: str, dtype: str) -> Column:
+def _differs(name: str, dtype: str, nan_equal: bool = True) -> Column:
     a, b = F.col(f"a.{name}"), F.col(f"b.{name}")
+    if not nan_equal:
+        near = (a == b) if dtype == "int64" else is_close(a, b) & ~F.isnan(a) & ~F.isnan(b)
+        return ~F.coalesce(near, F.lit(False))
     return ~a.eqNullSafe(b) if dtype == "int64" else ~F.coalesce(is_close(a, b), a.isNull() & b.isNull())
 
 
@@ -37,11 +40,13 @@ def feature_report(left: DataFrame, right: DataFrame, key: str = "transaction_id
     return counts.join(shown, "feature", "left").withColumn("mismatch_rate", F.col("n_mismatch") / F.col("n_rows"))
 
 
-def row_report(left: DataFrame, right: DataFrame, key: str = "transaction_id") -> DataFrame:
-    """One row: rows compared, rows with any mismatch, keys that only one side has, and whether all agree."""
+def row_report(left: DataFrame, right: DataFrame, key: str = "transaction_id", nan_equal: bool = True) -> DataFrame:
+    """One row: rows compared, rows with any mismatch, keys that only one side has, and whether all agree.
+
+    Unless nan_equal, a null or NaN on either side is a mismatch."""
     any_differs = F.lit(False)
     for f in FEATURES:
-        any_differs = any_differs | _differs(f.name, f.dtype)
+        any_differs = any_differs | _differs(f.name, f.dtype, nan_equal)
     both = left.alias("a").join(right.alias("b"), key).agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(any_differs, 1)).alias("n_mismatch"))
     gap = left.select(key).join(right.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("only_left"))
     other = right.select(key).join(left.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("only_right"))

@@ -5,6 +5,9 @@ and sort.  `trailing_features_balanced` is for cards with very many events: Spar
 sliding range frame again for each row, so it is rewritten to running aggregates in blocks of the
 window's length.  `arrival_features` is the
 policy under which an event sees earlier ties.
+
+Amounts are added as they are.  No form subtracts, so a large amount that has left a window leaves
+no trace; forms that add in different orders agree to a double's precision.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.events import known_product
-from millrace.spec import FEATURE_NAMES, FEATURES, NO_LAST, PRODUCTS, UNITS, WINDOWS
+from millrace.spec import FEATURE_NAMES, FEATURES, NO_LAST, PRODUCTS, WINDOWS
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -29,15 +32,11 @@ def seconds(ts: str | Column) -> Column:
     return F.unix_seconds(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
 
 
-def units(amount: str) -> Column:
-    return F.round(F.col(amount) * UNITS).cast("long")
-
-
 def _features(count: dict[str, Column], total: dict[str, Column], top: dict[str, Column], last: Column, lifetime: Column, product: dict[str, Column]) -> list[Column]:
-    """The 19 columns in the order of the spec, defaults filled in; total is in units."""
+    """The 19 columns in the order of the spec, defaults filled in."""
     made: dict[str, Column] = {"last_txn_unixtime": F.coalesce(last.cast("double"), F.lit(NO_LAST)), "txn_count_lifetime": F.coalesce(lifetime, F.lit(0))}
     for w in WINDOWS:
-        n, s = F.coalesce(count[w], F.lit(0)), F.coalesce(total[w], F.lit(0)) / float(UNITS)
+        n, s = F.coalesce(count[w], F.lit(0)), F.coalesce(total[w], F.lit(0.0))
         made |= {f"txn_count_{w}": n, f"amt_sum_{w}": s, f"amt_mean_{w}": F.when(n > 0, s / n).otherwise(0.0), f"amt_max_{w}": F.coalesce(top[w], F.lit(0.0))}
     made |= {f"product_{p}_count_7d": F.coalesce(product[p], F.lit(0)) for p in PRODUCTS}
     return [made[f.name].cast(f.spark_type).alias(f.name) for f in FEATURES]
@@ -46,14 +45,14 @@ def _features(count: dict[str, Column], total: dict[str, Column], top: dict[str,
 def trailing_features(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", amount: str = "amount", product: str = "product_cd") -> DataFrame:
     """events with the 19 features of the spec."""
     require(events, entity, ts, amount, product)
-    rows = events.withColumns({"_u": seconds(ts), "_units": units(amount), "_code": known_product(F.col(product))})
+    rows = events.withColumns({"_u": seconds(ts), "_amount": F.col(amount).cast("double"), "_code": known_product(F.col(product))})
     order = Window.partitionBy(entity).orderBy("_u")
     frame = {w: order.rangeBetween(-(n - 1), -1) for w, n in WINDOWS.items()}
     past = order.rangeBetween(Window.unboundedPreceding, -1)
     made = _features(
         {w: F.count(F.lit(1)).over(frame[w]) for w in WINDOWS},
-        {w: F.sum("_units").over(frame[w]) for w in WINDOWS},
-        {w: F.max(amount).over(frame[w]) for w in WINDOWS},
+        {w: F.sum("_amount").over(frame[w]) for w in WINDOWS},
+        {w: F.max("_amount").over(frame[w]) for w in WINDOWS},
         F.max("_u").over(past),
         F.count(F.lit(1)).over(past),
         {p: F.count(F.when(F.col("_code") == p, 1)).over(frame["7d"]) for p in PRODUCTS},
@@ -68,7 +67,9 @@ def trailing_features_balanced(events: DataFrame, entity: str = "card_id", ts: s
     block before t's and what lies before t in t's own, so two running aggregates by card and block
     give it.  What lies in all earlier blocks comes from one row per card and block."""
     require(events, entity, ts, amount, product, key)
-    base = events.select(F.col(key).alias("_id"), F.col(entity).alias("_card"), seconds(ts).alias("_u"), units(amount).alias("_units"), F.col(amount).cast("double").alias("_amount"), known_product(F.col(product)).alias("_code"))
+    base = events.select(
+        F.col(key).alias("_id"), F.col(entity).alias("_card"), seconds(ts).alias("_u"), F.col(amount).cast("double").alias("_amount"), known_product(F.col(product)).alias("_code")
+    )
     parts = reduce(DataFrame.unionByName, [_by_block(base, w) for w in WINDOWS])
     sums = [F.sum(F.when(F.col("w") == w, F.col(c))).alias(f"{c}_{w}") for w in WINDOWS for c in ("n", "s")]
     tops = [F.max(F.when(F.col("w") == w, F.col("top"))).alias(f"top_{w}") for w in WINDOWS]
@@ -97,9 +98,9 @@ def _by_block(base: DataFrame, w: str) -> DataFrame:
     length, u = WINDOWS[w], F.col("_u")
     block = F.floor(u / length)
     rows = F.array(*[F.struct((block - int(kind == 2)).alias("block"), (u - (length if kind == 2 else 0)).alias("at"), F.lit(kind).alias("kind")) for kind in (0, 1, 2)])
-    line = base.select("_id", "_card", "_units", "_amount", "_code", F.explode(rows).alias("m")).select("*", "m.*").drop("m")
+    line = base.select("_id", "_card", "_amount", "_code", F.explode(rows).alias("m")).select("*", "m.*").drop("m")
     born = F.col("kind") == 0
-    values = {"n": (F.count, F.when(born, 1)), "s": (F.sum, F.when(born, F.col("_units"))), "top": (F.max, F.when(born, F.col("_amount"))), "seen": (F.max, F.when(born, F.col("at")))}
+    values = {"n": (F.count, F.when(born, 1)), "s": (F.sum, F.when(born, F.col("_amount"))), "top": (F.max, F.when(born, F.col("_amount"))), "seen": (F.max, F.when(born, F.col("at")))}
     values |= {f"p_{p}": (F.count, F.when(born & (F.col("_code") == p), 1)) for p in PRODUCTS}
     group = Window.partitionBy("_card", "block")
     before = group.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
@@ -108,12 +109,32 @@ def _by_block(base: DataFrame, w: str) -> DataFrame:
     return line.select("_id", F.lit(w).alias("w"), "kind", *found).filter("kind > 0")
 
 
+def range_join_features(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", amount: str = "amount", product: str = "product_cd", key: str = "transaction_id") -> DataFrame:
+    """The same columns by a self-join over time, grouped by the later event: for checks on small tables, as it pairs all events of a card."""
+    now = events.select(F.col(key), F.col(entity).alias("_card"), seconds(ts).alias("_u"))
+    old = events.select(F.col(entity).alias("_card"), seconds(ts).alias("_v"), F.col(amount).cast("double").alias("_amount"), known_product(F.col(product)).alias("_code"))
+    pairs = now.join(old, (now["_card"] == old["_card"]) & (F.col("_v") < F.col("_u")), "left")
+
+    def inside(w: str) -> Column:
+        return F.col("_v") > F.col("_u") - WINDOWS[w]
+
+    sums = {f"n_{w}": F.count(F.when(inside(w), 1)) for w in WINDOWS} | {f"s_{w}": F.sum(F.when(inside(w), F.col("_amount"))) for w in WINDOWS}
+    sums |= {f"m_{w}": F.max(F.when(inside(w), F.col("_amount"))) for w in WINDOWS}
+    sums |= {f"p_{p}": F.count(F.when(inside("7d") & (F.col("_code") == p), 1)) for p in PRODUCTS}
+    held = pairs.groupBy(key).agg(F.max("_v").alias("_last"), F.count("_v").alias("_born"), *[c.alias(n) for n, c in sums.items()])
+    made = _features(
+        {w: F.col(f"n_{w}") for w in WINDOWS}, {w: F.col(f"s_{w}") for w in WINDOWS}, {w: F.col(f"m_{w}") for w in WINDOWS},
+        F.col("_last"), F.col("_born"), {p: F.col(f"p_{p}") for p in PRODUCTS},
+    )
+    return events.join(held.select(key, *made), key).select(*events.columns, *FEATURE_NAMES)
+
+
 def arrival_features(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", key: str = "transaction_id") -> DataFrame:
     """Features that also see tied events of a smaller id (the policy without a watermark)."""
-    rows = trailing_features(events, entity, ts).withColumns({"_u": seconds(ts), "_units": units("amount"), "_code": known_product(F.col("product_cd"))})
+    rows = trailing_features(events, entity, ts).withColumns({"_u": seconds(ts), "_amount": F.col("amount").cast("double"), "_code": known_product(F.col("product_cd"))})
     tied = Window.partitionBy(entity, "_u").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(tied), "_s": F.coalesce(F.sum("_units").over(tied), F.lit(0)), "_top": F.max("amount").over(tied)} | {f"_p{p}": F.count(F.when(F.col("_code") == p, 1)).over(tied) for p in PRODUCTS})
-    total = {w: F.round(F.col(f"amt_sum_{w}") * UNITS).cast("long") + F.col("_s") for w in WINDOWS}
+    rows = rows.withColumns({"_n": F.count(F.lit(1)).over(tied), "_s": F.coalesce(F.sum("_amount").over(tied), F.lit(0.0)), "_top": F.max("_amount").over(tied)} | {f"_p{p}": F.count(F.when(F.col("_code") == p, 1)).over(tied) for p in PRODUCTS})
+    total = {w: F.col(f"amt_sum_{w}") + F.col("_s") for w in WINDOWS}
     top = {w: F.greatest(F.when(F.col(f"txn_count_{w}") > 0, F.col(f"amt_max_{w}")), F.col("_top")) for w in WINDOWS}
     made = _features(
         {w: F.col(f"txn_count_{w}") + F.col("_n") for w in WINDOWS},

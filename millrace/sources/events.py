@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,17 +83,19 @@ def profile(events: DataFrame) -> DataFrame:
 
 
 def to_wire(events: DataFrame) -> DataFrame:
-    """Key and compact JSON, nulls kept, times as ISO strings."""
-    fields = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) if c == "event_timestamp" else F.col(c) for c in EVENT_COLUMNS]
+    """Key and compact JSON, nulls kept, times as ISO strings; a column `arrival` is sent along."""
+    fields = [F.col("arrival")] if "arrival" in events.columns else []
+    # the time stands early in the message, so that messages sort by it
+    fields += [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c) if c == "event_timestamp" else F.col(c) for c in ["event_timestamp", *[c for c in EVENT_COLUMNS if c != "event_timestamp"]]]
     return events.select(F.col("card_id").alias("key"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def from_wire(messages: DataFrame) -> DataFrame:
+def from_wire(messages: DataFrame, *carry: str) -> DataFrame:
     """Parsed events and a reject reason: malformed JSON, missing key fields, a negative amount, a label outside {0, 1}.
 
     Unknown fields are ignored; null strings, codes and the label get their defaults."""
     schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = messages.select("value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e")).select("value", "e.*")
+    parsed = messages.select(*carry, "value", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e")).select(*carry, "value", "e.*")
     reason = (
         F.when(F.col("_corrupt").isNotNull(), "malformed")
         .when(F.col("transaction_id").isNull() | F.col("card_id").isNull() | F.col("event_timestamp").isNull() | F.col("amount").isNull(), "missing field")
@@ -104,8 +106,8 @@ def from_wire(messages: DataFrame) -> DataFrame:
     return parsed.withColumn("reject", reason).withColumns(filled).drop("_corrupt")
 
 
-def valid(parsed: DataFrame) -> DataFrame:
-    return parsed.filter("reject is null").select(*EVENT_COLUMNS)
+def valid(parsed: DataFrame, *carry: str) -> DataFrame:
+    return parsed.filter("reject is null").select(*EVENT_COLUMNS, *carry)
 
 
 def rejected(parsed: DataFrame) -> DataFrame:
@@ -132,43 +134,46 @@ def head(events: DataFrame, n: int) -> DataFrame:
 
 
 def synthetic(spark: SparkSession, n_cards: int = 200, n_events: int = 5000, seed: int = 7, duplicate_ts_rate: float = 0.08, shift: str | None = None) -> DataFrame:
-    """Events with the documented distributions; every value is a hash of (seed, row), so any partitioning gives the same rows.
+    """Events with the documented distributions; every value is an md5 of (seed, name, row), so any partitioning gives the same rows.
 
-    Owners are skewed (weight rank^-0.8), gaps exponential with mean 18,000 s (900 s under shift
-    "velocity"), a share of rows repeats the time of the row before, amounts are lognormal
-    (3.4, 1.1), products follow .70/.12/.08/.06/.04, and labels are likelier for large amounts."""
+    Owners are skewed (weight rank^-0.8).  Gaps of a card are exponential with mean 18,000 s (900 s
+    under shift "velocity"), and a share of rows has no gap, so that it ties with the row before.
+    Amounts are lognormal (3.4, 1.1) in cents (times 4 under "amount"), products follow
+    .70/.12/.08/.06/.04 (all C under "product"), networks and types are uniform, and labels are 0.01,
+    and 0.05 likelier above the 97th percentile of the amounts."""
     if shift not in (None, "amount", "velocity", "product"):
         raise ValueError(f"unknown shift {shift!r}")
 
     def uniform(name: str) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(name), F.col("transaction_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        digest = F.md5(F.concat_ws("/", F.lit(str(seed)), F.lit(name), F.col("transaction_id").cast("string")))
+        return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
     rows = spark.range(1, n_events + 1).withColumnRenamed("id", "transaction_id")
     power = 0.2  # the integral of rank^-0.8
     rank = F.least(F.pow(uniform("owner") * (F.pow(F.lit(float(n_cards + 1)), power) - 1) + 1, 1 / power).cast("long"), F.lit(n_cards))
     mean_gap = 900.0 if shift == "velocity" else 18000.0
-    # a uniform time in the span that such gaps fill; rows that repeat a time take that of the row before
-    moment = F.floor(uniform("time") * (mean_gap * n_events / max(n_cards, 1)))
-    before = F.floor((F.pmod(F.xxhash64(F.lit(seed), F.lit("time"), F.col("transaction_id") - 1), F.lit(1 << 52)) + 0.5) / float(1 << 52) * (mean_gap * n_events / max(n_cards, 1)))
+    gap = F.when(uniform("tie") < duplicate_ts_rate, 0).otherwise(F.floor(-F.log(uniform("gap")) * mean_gap) + 1)
     normal = F.sqrt(-2 * F.log(uniform("r"))) * F.cos(2 * 3.141592653589793 * uniform("phi"))
-    amount = F.round(F.exp(normal * 1.1 + 3.4), 2) * (4.0 if shift == "amount" else 1.0)
     p = uniform("product")
     product = F.lit("C") if shift == "product" else F.when(p < 0.7, "W").when(p < 0.82, "C").when(p < 0.9, "R").when(p < 0.96, "H").otherwise("S")
     network, kind = uniform("network"), uniform("type")
-    large = F.col("amount") > 237.0  # about the 97th percentile of the amounts
-    return rows.select(
+    made = rows.select(
         "transaction_id",
         F.format_string("card_%05d", rank).alias("card_id"),
-        F.timestamp_seconds(F.lit(EPOCH) + F.when((uniform("tie") < duplicate_ts_rate) & (F.col("transaction_id") > 1), before).otherwise(moment)).alias("event_timestamp"),
-        amount.alias("amount"),
+        gap.cast("long").alias("gap"),
+        (F.round(F.exp(normal * 1.1 + 3.4), 2) * (4.0 if shift == "amount" else 1.0)).alias("amount"),
         product.alias("product_cd"),
-        F.when(network < 0.6, "visa").when(network < 0.9, "mastercard").otherwise("discover").alias("card_network"),
-        F.when(kind < 0.3, "credit").otherwise("debit").alias("card_type"),
+        F.when(network < 1 / 3, "visa").when(network < 2 / 3, "mastercard").otherwise("discover").alias("card_network"),
+        F.when(kind < 0.5, "credit").otherwise("debit").alias("card_type"),
         F.lit("example.com").alias("email_domain"),
         F.floor(uniform("addr") * 400 + 100).cast("double").alias("addr1"),
         F.floor(uniform("dist") * 200).cast("double").alias("dist1"),
         uniform("label").alias("label"),
-    ).withColumn("is_fraud", (F.col("label") < F.when(large, 0.06).otherwise(0.01)).cast("int")).select(*EVENT_COLUMNS)
+    )
+    moment = F.sum("gap").over(Window.partitionBy("card_id").orderBy("transaction_id").rowsBetween(Window.unboundedPreceding, 0))
+    large = made.agg(F.percentile_approx("amount", 0.97, 10_000).alias("large"))
+    timed = made.withColumn("event_timestamp", F.timestamp_seconds(F.lit(EPOCH) + moment)).crossJoin(F.broadcast(large))  # one row
+    return timed.withColumn("is_fraud", (F.col("label") < F.when(F.col("amount") > F.col("large"), 0.06).otherwise(0.01)).cast("int")).select(*EVENT_COLUMNS)
 
 
 def cached_or_built(spark: SparkSession, path: str, build, rebuild: bool = False) -> DataFrame:

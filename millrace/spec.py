@@ -20,8 +20,6 @@ NO_GAP = -1.0
 RATIO_EPSILON = 1e-6
 RATIO_CAP = 1000.0
 UNKNOWN = "unknown"
-#: amounts are summed as whole ten-thousandths, so that no order of addition shows
-UNITS = 10_000
 
 
 @dataclass(frozen=True)
