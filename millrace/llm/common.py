@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,30 +34,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: makes Spark delete an execution's shuffle files when it ends
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder of spark.checkpoint.dir and cut its lineage; shuffle files of the step go with it.
-
-    Without that setting a local session takes a folder of its own, and a cluster, whose machines share none, is refused."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        # the plan of a new frame is made under the setting
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
 def give_back() -> None:
     """Return freed memory to the system: a worker that waits for its next task holds little."""
     gc.collect()

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import ALNUM, Words, as_bytes, checkpoint, lower_ascii, read_table, text_slices, trimmed, unused
+from millrace.llm.common import ALNUM, Words, as_bytes, lower_ascii, read_table, text_slices, trimmed, unused
+from millrace.storage import checkpoint
 
 WINDOW = 13
 #: about 100 MB in a Python worker

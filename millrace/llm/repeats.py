@@ -45,7 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import BYTE_VALUE, as_bytes, checkpoint, mix, prefix, read_table, slices, small_batches, spans, trimmed
+from millrace.llm.common import BYTE_VALUE, as_bytes, mix, prefix, read_table, slices, small_batches, spans, trimmed
+from millrace.storage import checkpoint
 
 LENGTH = 50
 #: bytes of a trigger at each level

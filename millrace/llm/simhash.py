@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import checkpoint, read_table, trimmed
+from millrace.llm.common import read_table, trimmed
+from millrace.storage import checkpoint
 
 BITS = 64
 GROUP_ROWS = 1024
