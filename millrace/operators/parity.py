@@ -47,8 +47,13 @@ def row_report(left: DataFrame, right: DataFrame, key: str = "transaction_id", n
     any_differs = F.lit(False)
     for f in FEATURES:
         any_differs = any_differs | _differs(f.name, f.dtype, nan_equal)
-    both = left.alias("a").join(right.alias("b"), key).agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(any_differs, 1)).alias("n_mismatch"))
-    gap = left.select(key).join(right.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("only_left"))
-    other = right.select(key).join(left.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("only_right"))
-    one = both.join(F.broadcast(gap)).join(F.broadcast(other))  # one row each
+    # one pass over each side
+    names = [f.name for f in FEATURES]
+    a, b = (df.select(key, F.lit(True).alias("has"), *names).alias(n) for df, n in ((left, "a"), (right, "b")))
+    one = a.join(b, key, "full").agg(
+        F.count(F.when(F.col("a.has") & F.col("b.has"), 1)).alias("n_rows"),
+        F.count(F.when(F.col("a.has") & F.col("b.has") & any_differs, 1)).alias("n_mismatch"),
+        F.count(F.when(F.col("b.has").isNull(), 1)).alias("only_left"),
+        F.count(F.when(F.col("a.has").isNull(), 1)).alias("only_right"),
+    )
     return one.withColumn("passed", (F.col("n_mismatch") == 0) & (F.col("only_left") == 0) & (F.col("only_right") == 0))

@@ -10,6 +10,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,15 +275,62 @@ class CardProcessor(StatefulProcessor):
         pass
 
 
+#: events of a card after which a replay drops what no window can reach, and rows of one output batch
+TRIM_EVENTS = 10_000
+OUTPUT_ROWS = 20_000
+
+
+def _replay(policy: str, finalize: bool):
+    """Rows sorted by card and arrival to the rows that the processor gives, without a state store: a card's state lives while its rows pass."""
+    kinds = [{T.StringType(): pa.string(), T.LongType(): pa.int64(), T.DoubleType(): pa.float64()}[f.dataType] for f in OUTPUT.fields]
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=OUTPUT.names)
+
+    def ended(name: str, card: CardState) -> list[tuple]:
+        if finalize:
+            card.fold()
+        return [(name, "store", None, card.last, card.late, *card.features(card.last, True))] if card.last is not None else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        now, card, n = None, None, 0
+        for batch in batches:
+            for name, u, ident, amount, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if card is None or name != now:
+                    if card is not None:
+                        rows += ended(now, card)
+                    now, card, n = name, CardState(), 0
+                found = card.see(u, amount, code, policy)
+                rows.append((name, "scoring", ident, u, card.late, *found))
+                n += 1
+                if n % TRIM_EVENTS == 0:
+                    card.trim()
+                if len(rows) >= OUTPUT_ROWS:
+                    yield frame(rows)
+                    rows = []
+        if card is not None:
+            rows += ended(now, card)
+        if rows:
+            yield frame(rows)
+
+    return run
+
+
 def keyed_features(events: DataFrame, policy: str = "watermark", finalize: bool = False, release_ms: int | None = None) -> DataFrame:
     """Scoring and store rows of a stream or a batch with (card_id, u, transaction_id, amount, product_cd).
 
     Rows of a card are taken in the order of the column `arrival` if there is one (an offset, say), and
     late ones are counted by it; without it a batch is taken in the order of time."""
     reach(events.sparkSession)
-    if not events.isStreaming:
-        _ = events.sparkSession.streams.active  # starts the state store's coordinator, which a batch needs too
-    mode = "ProcessingTime" if release_ms is not None and events.isStreaming else "None"
-    processor = CardProcessor(policy, finalize, release_ms if mode == "ProcessingTime" else None)
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy!r}")
     arrival = F.col("arrival").cast("long") if "arrival" in events.columns else F.lit(0).cast("long")
-    return events.select("card_id", arrival.alias("arrival"), "u", "transaction_id", F.col("amount").cast("double").alias("amount"), "product_cd").groupBy("card_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode=mode)
+    rows = events.select("card_id", arrival.alias("arrival"), "u", "transaction_id", F.col("amount").cast("double").alias("amount"), "product_cd")
+    if not events.isStreaming:
+        # a batch is replayed card by card, with the same state machine
+        ordered = rows.repartition("card_id").sortWithinPartitions("card_id", "arrival", "u", "transaction_id", "amount", "product_cd")
+        return ordered.drop("arrival").mapInArrow(_replay(policy, finalize), OUTPUT)
+    mode = "ProcessingTime" if release_ms is not None else "None"
+    processor = CardProcessor(policy, finalize, release_ms)
+    return rows.groupBy("card_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUTPUT, outputMode="Append", timeMode=mode)
