@@ -283,6 +283,15 @@ def test_very_long_words(library, own):
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_of_all_of_unicode(library, own):
+    """Each assigned or unassigned character beside letters, digits, signs, spaces and apostrophes is cut as in the library."""
+    step = [c for c in [*range(0x3100), *range(0x3100, 0x33480, 37), *range(0xE0000, 0xE0100)] if not 0xD800 <= c < 0xF900]
+    new = [0x558, 0x58B, 0x88F, 0xC5C, 0xCDC, 0x208F]
+    texts = [t for c in map(chr, step + new) for t in ("a " + c, "1" + c + "1", c + "'s " + c + c, "!" + c + "  \n" + c)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert own.encode(texts) == want
+
+
 def test_encode_and_decode_tables(awkward, none):
     tokens = bpe.encode_documents(awkward)
     assert tokens.columns == [*[c for c in awkward.columns if c != "text"], "ids"]
