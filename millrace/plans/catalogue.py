@@ -646,7 +646,7 @@ def served_drift(spark, sf_dir):
 
 @query("drift_verdict", """SELECT part AS "column", method, value, threshold, CASE WHEN part % 3 = 0 THEN value < threshold WHEN part % 7 = 0 THEN NULL ELSE value > threshold END AS drifted
 FROM (SELECT p_partkey AS part, CASE p_partkey % 3 WHEN 0 THEN 'K-S p_value' WHEN 1 THEN 'Wasserstein distance (normed)' ELSE 'PSI' END AS method,
-  CASE WHEN p_partkey % 7 = 0 AND p_partkey % 3 <> 0 THEN NULL ELSE (p_partkey % 100) / 100.0 END AS value, CASE p_partkey % 3 WHEN 0 THEN 0.05 ELSE 0.1 END AS threshold FROM part)""")
+  CASE WHEN p_partkey % 7 = 0 AND p_partkey % 3 <> 0 THEN NULL ELSE (p_partkey % 100) / 100.0 END AS value, CAST(CASE p_partkey % 3 WHEN 0 THEN 0.05 ELSE 0.1 END AS DOUBLE) AS threshold FROM part)""")
 def drift_verdict(spark, sf_dir):
     """Findings of three methods, of which one gives probabilities; some are empty."""
     key = F.col("p_partkey")
