@@ -81,7 +81,9 @@ def trailing_features_balanced(events: DataFrame, entity: str = "card_id", ts: s
     past = Window.partitionBy("_card").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = base.groupBy("_card", block).agg(F.count(F.lit(1)).alias("n"), F.max("_u").alias("seen"))
     earlier = totals.select("_card", "block", F.sum("n").over(past).alias("past_n"), F.max("seen").over(past).alias("past_seen"))
-    joined = base.select("_id", "_card", block).join(earlier, ["_card", "block"]).join(found, "_id")
+    # events without a card are one card, as in the window form
+    now = base.select("_id", F.col("_card").alias("_c"), block.alias("_b"))
+    joined = now.join(earlier, F.col("_c").eqNullSafe(F.col("_card")) & (F.col("_b") == F.col("block"))).join(found, "_id")
     made = _features(
         {w: F.col(f"n_{w}") for w in WINDOWS},
         {w: F.col(f"s_{w}") for w in WINDOWS},
@@ -113,7 +115,7 @@ def range_join_features(events: DataFrame, entity: str = "card_id", ts: str = "e
     """The same columns by a self-join over time, grouped by the later event: for checks on small tables, as it pairs all events of a card."""
     now = events.select(F.col(key), F.col(entity).alias("_card"), seconds(ts).alias("_u"))
     old = events.select(F.col(entity).alias("_card"), seconds(ts).alias("_v"), F.col(amount).cast("double").alias("_amount"), known_product(F.col(product)).alias("_code"))
-    pairs = now.join(old, (now["_card"] == old["_card"]) & (F.col("_v") < F.col("_u")), "left")
+    pairs = now.join(old, now["_card"].eqNullSafe(old["_card"]) & (F.col("_v") < F.col("_u")), "left")
 
     def inside(w: str) -> Column:
         return F.col("_v") > F.col("_u") - WINDOWS[w]

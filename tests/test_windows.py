@@ -72,6 +72,15 @@ def test_unknown_products_count_as_w_and_negative_maxima_stay(spark):
     assert windows.trailing_features_balanced(make(spark, [("a", t, -5, "Q"), ("a", t + 10, 1, "W")])).orderBy("transaction_id").collect()[1]["amt_max_1h"] == -5.0
 
 
+def test_events_without_a_card_are_one_card_in_every_form(spark):
+    t = 1_600_000_000
+    events = make(spark, [(None, t, 1, "W"), ("a", t + 5, 2, "C"), (None, t + 10, 4, "W"), (None, t + 604800, 8, "H")])
+    want = [tuple(r) for r in windows.trailing_features(events).orderBy("transaction_id").collect()]
+    assert [r[events.columns.index("transaction_id")] for r in want] == [1, 2, 3, 4]
+    for form in (windows.trailing_features_balanced, windows.range_join_features):
+        assert [tuple(r) for r in form(events).orderBy("transaction_id").collect()] == want
+
+
 def test_arrival_differs_only_where_times_tie(spark, generated):
     strict = {r["transaction_id"]: r for r in windows.trailing_features(generated).collect()}
     seen = {r["transaction_id"]: r for r in windows.arrival_features(generated).collect()}
