@@ -8,22 +8,51 @@ from pyspark.sql import functions as F
 from millrace.spec import DEFAULTS, FEATURE_NAMES, FEATURES
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], created: str | None = None, ttl_seconds: int | None = None) -> DataFrame:
-    """Each left row with the values of the latest right row of its key at or before its time.
+#: the table's time is cut into blocks of this length where a key's rows are dealt over tasks
+BLOCK_SECONDS = 86_400
 
-    Equal right times are told apart by `created`.  With a time to live, older right rows count
-    as absent.  Both sides go through one exchange and sort by key; no row of the left is lost."""
-    kinds = {f.name: f.dataType for f in right.schema.fields}
+
+def _both_sides(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], created: str | None) -> DataFrame:
+    """Right rows (_side 0) and left rows (_side 1) as one table.  A right row without a time is never at or before anything."""
     row = F.struct(F.col(right_ts).cast("timestamp").alias("_at"), *[F.col(c) for c in values])
     empty = F.lit(None).cast(left.sparkSession.createDataFrame([], right.select(row.alias("r")).schema).schema["r"].dataType)
     late = F.col(created).cast("timestamp") if created else F.lit(None).cast("timestamp")
-    facts = right.select(F.col(key), F.col(right_ts).cast("timestamp").alias("_ts"), F.lit(0).alias("_side"), late.alias("_created"), row.alias("_row"))
+    facts = right.filter(F.col(right_ts).isNotNull()).select(F.col(key), F.col(right_ts).cast("timestamp").alias("_ts"), F.lit(0).alias("_side"), late.alias("_created"), row.alias("_row"))
     asks = left.select(F.col(key), F.col(left_ts).cast("timestamp").alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast("timestamp").alias("_created"), empty.alias("_row"), F.struct(*left.columns).alias("_left"))
-    both = facts.unionByName(asks, allowMissingColumns=True)
+    return facts.unionByName(asks, allowMissingColumns=True)
+
+
+def _with_values(found: DataFrame, right: DataFrame, values: list[str], ttl_seconds: int | None) -> DataFrame:
+    fresh = F.lit(True) if ttl_seconds is None else F.unix_micros("_found._at") >= F.unix_micros("_ts") - ttl_seconds * 1_000_000
+    return found.select("_left.*", *[F.when(fresh, F.col(f"_found.{c}")).cast(right.schema[c].dataType).alias(c) for c in values])
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], created: str | None = None, ttl_seconds: int | None = None) -> DataFrame:
+    """Each left row with the values of the latest right row of its key at or before its time.
+
+    Equal right times are told apart by `created`.  With a time to live, older right rows count
+    as absent.  Both sides go through one exchange and sort by key; no row of the left is lost."""
+    both = _both_sides(left, right, key, left_ts, right_ts, values, created)
     upto = Window.partitionBy(key).orderBy("_ts", "_side", "_created").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.last("_row", ignorenulls=True).over(upto)).filter("_side = 1")
-    fresh = F.lit(True) if ttl_seconds is None else F.unix_micros("_found._at") >= F.unix_micros("_ts") - ttl_seconds * 1_000_000
-    return found.select("_left.*", *[F.when(fresh, F.col(f"_found.{c}")).cast(kinds[c]).alias(c) for c in values])
+    return _with_values(found, right, values, ttl_seconds)
+
+
+def asof_join_balanced(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], created: str | None = None, ttl_seconds: int | None = None, block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """The same rows for keys of very many rows: a key's time is cut into blocks, and each block is a task's work by itself.
+
+    Where a block has no right row up to the left one, the last right row of the blocks before
+    counts, which comes from one pre-aggregated row for each key and block."""
+    both = _both_sides(left, right, key, left_ts, right_ts, values, created)
+    both = both.withColumn("_block", F.floor(F.unix_seconds("_ts") / block_seconds))
+    newest = F.max_by("_row", F.when(F.col("_side") == 0, F.struct("_ts", "_created")))
+    ends = both.groupBy(F.col(key).alias("_key"), F.col("_block").alias("_b")).agg(newest.alias("_end"))
+    earlier = Window.partitionBy("_key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_key", "_b", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    upto = Window.partitionBy(key, "_block").orderBy("_ts", "_side", "_created").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_inside", F.last("_row", ignorenulls=True).over(upto)).filter("_side = 1")
+    met = inside.join(carried, F.col(key).eqNullSafe(F.col("_key")) & F.col("_block").eqNullSafe(F.col("_b")), "left")
+    return _with_values(met.withColumn("_found", F.coalesce("_inside", "_carried")), right, values, ttl_seconds)
 
 
 def lost_rows(left: DataFrame, joined: DataFrame, id_column: str) -> DataFrame:

@@ -3,7 +3,7 @@
 `trailing_features` states each feature over one window per card; all frames share one exchange
 and sort.  `trailing_features_balanced` is for cards with very many events: Spark evaluates a
 sliding range frame again for each row, so it is rewritten to running aggregates in blocks of the
-window's length.  `arrival_features` is the
+window's length.  `trailing_features_by_size` chooses by card.  `arrival_features` is the
 policy under which an event sees earlier ties.
 
 Amounts are added as they are.  No form subtracts, so a large amount that has left a window leaves
@@ -12,6 +12,7 @@ no trace; forms that add in different orders agree to a double's precision.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.events import known_product
 from millrace.spec import FEATURE_NAMES, FEATURES, NO_LAST, PRODUCTS, WINDOWS
+from millrace.storage import checkpoint
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -111,6 +113,32 @@ def _by_block(base: DataFrame, w: str) -> DataFrame:
     return line.select("_id", F.lit(w).alias("w"), "kind", *found).filter("kind > 0")
 
 
+#: events of a card from which it takes the balanced form
+HOT_EVENTS = 100_000
+#: cards in that form up to which their names are broadcast
+BROADCAST_CARDS = 100_000
+
+
+def trailing_features_by_size(
+    events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", amount: str = "amount", product: str = "product_cd", key: str = "transaction_id", hot_events: int = HOT_EVENTS
+) -> DataFrame:
+    """The same columns, each card in the form that its number of events asks for.
+
+    Counts are made before anything moves.  Cards over `hot_events` take the balanced form and the
+    others the window form, in which no task then has more than that of one card."""
+    require(events, entity, ts, amount, product, key)
+    sizes = events.groupBy(F.col(entity).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = checkpoint(sizes.filter(F.col("_n") > hot_events).select("_hot"))
+    n = hot.count()
+    if not n:
+        return trailing_features(events, entity, ts, amount, product)
+    # beyond that bound the join is shuffled, and the session's skew join splits a hot card's side
+    names = F.broadcast(hot) if n <= BROADCAST_CARDS else hot
+    same = F.col(entity).eqNullSafe(F.col("_hot"))
+    rest = trailing_features(events.join(names, same, "left_anti"), entity, ts, amount, product)
+    return rest.unionByName(trailing_features_balanced(events.join(names, same, "left_semi"), entity, ts, amount, product, key))
+
+
 def range_join_features(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", amount: str = "amount", product: str = "product_cd", key: str = "transaction_id") -> DataFrame:
     """The same columns by a self-join over time, grouped by the later event: for checks on small tables, as it pairs all events of a card."""
     now = events.select(F.col(key), F.col(entity).alias("_card"), seconds(ts).alias("_u"))
@@ -131,9 +159,11 @@ def range_join_features(events: DataFrame, entity: str = "card_id", ts: str = "e
     return events.join(held.select(key, *made), key).select(*events.columns, *FEATURE_NAMES)
 
 
-def arrival_features(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", key: str = "transaction_id") -> DataFrame:
-    """Features that also see tied events of a smaller id (the policy without a watermark)."""
-    rows = trailing_features(events, entity, ts).withColumns({"_u": seconds(ts), "_amount": F.col("amount").cast("double"), "_code": known_product(F.col("product_cd"))})
+def arrival_features(events: DataFrame, entity: str = "card_id", ts: str = "event_timestamp", key: str = "transaction_id", form: Callable[..., DataFrame] = trailing_features) -> DataFrame:
+    """Features that also see tied events of a smaller id (the policy without a watermark).
+
+    `form` makes the features of what lies before; ties add one window by card and second."""
+    rows = form(events, entity, ts).withColumns({"_u": seconds(ts), "_amount": F.col("amount").cast("double"), "_code": known_product(F.col("product_cd"))})
     tied = Window.partitionBy(entity, "_u").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({"_n": F.count(F.lit(1)).over(tied), "_s": F.coalesce(F.sum("_amount").over(tied), F.lit(0.0)), "_top": F.max("_amount").over(tied)} | {f"_p{p}": F.count(F.when(F.col("_code") == p, 1)).over(tied) for p in PRODUCTS})
     total = {w: F.col(f"amt_sum_{w}") + F.col("_s") for w in WINDOWS}

@@ -192,6 +192,14 @@ def features_skew_rewrite(spark, sf_dir):
     return _select(windows.trailing_features_balanced(events(spark, sf_dir, True)), "transaction_id", *FEATURE_NAMES)
 
 
+@query("features_by_size", f"WITH {_ev(True)}, {_framed()} SELECT transaction_id, {ALL} FROM feat")
+def features_by_size(spark, sf_dir):
+    """Cards over the average number of events take the balanced form, the others the window form."""
+    rows = events(spark, sf_dir, True)
+    n, cards = rows.agg(F.count(F.lit(1)), F.count_distinct("card_id")).first()
+    return _select(windows.trailing_features_by_size(rows, hot_events=n // max(cards, 1)), "transaction_id", *FEATURE_NAMES)
+
+
 @query("tiebreak_rank", f"WITH {_ev(True)} SELECT transaction_id, row_number() OVER (PARTITION BY card_id, u ORDER BY transaction_id) - 1 AS tie_rank, u * 1000000 + row_number() OVER (PARTITION BY card_id, u ORDER BY transaction_id) - 1 AS unique_us FROM ev")
 def tiebreak_rank(spark, sf_dir):
     return windows.tie_rank(events(spark, sf_dir, True)).select("transaction_id", "tie_rank", _micros("unique_timestamp").alias("unique_us"))
@@ -285,18 +293,31 @@ def class_weight(spark, sf_dir):
 _TTL_DAYS = 2
 
 
-@query("asof_purchase_view", f"""WITH {_ev(True)}, views AS (SELECT card_id, us, transaction_id, amount FROM (SELECT *, row_number() OVER (PARTITION BY card_id, us ORDER BY transaction_id DESC) AS n FROM ev WHERE product_cd = 'W') WHERE n = 1),
+_PURCHASE_VIEW = f"""WITH {_ev(True)}, views AS (SELECT card_id, us, transaction_id, amount FROM (SELECT *, row_number() OVER (PARTITION BY card_id, us ORDER BY transaction_id DESC) AS n FROM ev WHERE product_cd = 'W') WHERE n = 1),
 best AS (SELECT p.transaction_id, p.us, max(v.us) AS at FROM ev p LEFT JOIN views v ON p.card_id = v.card_id AND v.us <= p.us WHERE p.product_cd = 'S' GROUP BY p.transaction_id, p.us)
 SELECT p.transaction_id, CASE WHEN b.at >= p.us - {_TTL_DAYS * 86400_000_000} THEN v.transaction_id END AS view_id, CASE WHEN b.at >= p.us - {_TTL_DAYS * 86400_000_000} THEN v.amount END AS view_amount
-FROM ev p JOIN best b ON p.transaction_id = b.transaction_id LEFT JOIN views v ON v.card_id = p.card_id AND v.us = b.at WHERE p.product_cd = 'S'""")
-def asof_purchase_view(spark, sf_dir):
-    """Each purchase with the latest view of its card, at most two days old; of tied views the last one."""
+FROM ev p JOIN best b ON p.transaction_id = b.transaction_id LEFT JOIN views v ON v.card_id = p.card_id AND v.us = b.at WHERE p.product_cd = 'S'"""
+
+
+def _purchase_views(spark, sf_dir, join) -> DataFrame:
     rows = events(spark, sf_dir, True)
     views = rows.filter("product_cd = 'W'").select("card_id", "event_timestamp", F.timestamp_micros("transaction_id").alias("created"), F.col("transaction_id").alias("view_id"), F.col("amount").alias("view_amount"))
-    joined = asof.asof_join(rows.filter("product_cd = 'S'"), views, "card_id", "event_timestamp", "event_timestamp", ["view_id", "view_amount"], "created", _TTL_DAYS * 86400)
+    joined = join(rows.filter("product_cd = 'S'"), views, "card_id", "event_timestamp", "event_timestamp", ["view_id", "view_amount"], "created", _TTL_DAYS * 86400)
     return joined.select("transaction_id", "view_id", "view_amount")
 
 
+@query("asof_purchase_view", _PURCHASE_VIEW)
+def asof_purchase_view(spark, sf_dir):
+    """Each purchase with the latest view of its card, at most two days old; of tied views the last one."""
+    return _purchase_views(spark, sf_dir, asof.asof_join)
+
+
+@query("asof_purchase_view_balanced", _PURCHASE_VIEW)
+def asof_purchase_view_balanced(spark, sf_dir):
+    """The same, with a card's time cut into blocks."""
+    return _purchase_views(spark, sf_dir, asof.asof_join_balanced)
+
+
 @query("asof_training_set", f"WITH {_ev(True)}, {_framed()} SELECT transaction_id, {ALL} FROM feat")
 def asof_training_set(spark, sf_dir):
     """Features joined as of each event from the stored table, although times tie."""

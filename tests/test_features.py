@@ -2,6 +2,7 @@
 
 import math
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,15 +47,36 @@ def test_top_contributions(spark):
     assert [(x["feature"], x["contribution"]) for x in got] == [("b", -3.0), ("c", 2.0)]
 
 
-def test_asof_ties_ttl_and_no_lost_rows(spark):
+@pytest.mark.parametrize("join", [asof.asof_join, partial(asof.asof_join_balanced, block_seconds=70), asof.asof_join_balanced])
+def test_asof_ties_ttl_and_no_lost_rows(spark, join):
     left = spark.createDataFrame([(1, "a", 100), (2, "a", 50), (3, "b", 100), (4, "a", 1000)], "id int, k string, t long").withColumn("ts", F.timestamp_seconds("t"))
     right = spark.createDataFrame([("a", 60, 1, 1.0), ("a", 60, 2, 2.0), ("a", 100, 1, 3.0)], "k string, t long, c long, v double").select("k", F.timestamp_seconds("t").alias("at"), F.timestamp_seconds("c").alias("created"), "v")
-    got = {r["id"]: r["v"] for r in asof.asof_join(left, right, "k", "ts", "at", ["v"], "created", 500).collect()}
+    got = {r["id"]: r["v"] for r in join(left, right, "k", "ts", "at", ["v"], "created", 500).collect()}
     assert got == {1: 3.0, 2: None, 3: None, 4: None}
-    early = {r["id"]: r["v"] for r in asof.asof_join(left.filter("t = 100").withColumn("ts", F.timestamp_seconds(F.lit(99))), right, "k", "ts", "at", ["v"], "created").collect()}
+    early = {r["id"]: r["v"] for r in join(left.filter("t = 100").withColumn("ts", F.timestamp_seconds(F.lit(99))), right, "k", "ts", "at", ["v"], "created").collect()}
     assert early == {1: 2.0, 3: None}
 
 
+@pytest.mark.parametrize("block", [1, 30, 10_000])
+def test_asof_forms_agree_with_brute_force(spark, block):
+    rng = random.Random(block)
+    keys, times = ["a", "a", "a", "b", None], [None, *range(0, 300, 7)]
+    asks = [(i, rng.choice(keys), rng.choice(times)) for i in range(120)]
+    facts = [(rng.choice(keys[:4]), rng.choice(times), i, float(i)) for i in range(60)]
+    left = spark.createDataFrame(asks, "id int, k string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    right = spark.createDataFrame(facts, "k string, t long, c long, v double").select("k", F.timestamp_seconds("t").alias("at"), F.timestamp_seconds("c").alias("created"), "v")
+    want = {}
+    for i, k, t in asks:
+        seen = [f[1:] for f in facts if t is not None and f[0] == k and f[1] is not None and f[1] <= t]
+        want[i] = max(seen)[2] if seen else None
+    for join in (asof.asof_join, partial(asof.asof_join_balanced, block_seconds=block)):
+        got = join(left, right, "k", "ts", "at", ["v"], "created").collect()
+        assert len(got) == len(asks) and {r["id"]: r["v"] for r in got} == want
+    none = asof.asof_join_balanced(left, right.limit(0), "k", "ts", "at", ["v"], "created", block_seconds=block).collect()
+    assert len(none) == len(asks) and {r["v"] for r in none} == {None}
+    assert asof.asof_join_balanced(left.limit(0), right, "k", "ts", "at", ["v"]).count() == 0
+
+
 def test_split_positions_with_ties(spark):
     rows = [(i, "c", 1000 + i // 7, 0) for i in range(100)]
     df = spark.createDataFrame(rows, "transaction_id long, card_id string, t long, is_fraud int").withColumn("event_timestamp", F.timestamp_seconds("t"))

@@ -1,6 +1,7 @@
 """Trailing windows: three forms agree with a brute force over rows, and with micro-cases."""
 
 import math
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def generated(spark):
     return synthetic(spark, n_cards=12, n_events=400, seed=11, duplicate_ts_rate=0.3).cache()
 
 
-@pytest.mark.parametrize("form", [windows.trailing_features, windows.trailing_features_balanced])
+@pytest.mark.parametrize("form", [windows.trailing_features, windows.trailing_features_balanced, partial(windows.trailing_features_by_size, hot_events=30), windows.trailing_features_by_size])
 def test_matches_brute_force(generated, form):
     rows = [r.asDict() for r in generated.collect()]
     want = brute(rows)
@@ -77,7 +78,7 @@ def test_events_without_a_card_are_one_card_in_every_form(spark):
     events = make(spark, [(None, t, 1, "W"), ("a", t + 5, 2, "C"), (None, t + 10, 4, "W"), (None, t + 604800, 8, "H")])
     want = [tuple(r) for r in windows.trailing_features(events).orderBy("transaction_id").collect()]
     assert [r[events.columns.index("transaction_id")] for r in want] == [1, 2, 3, 4]
-    for form in (windows.trailing_features_balanced, windows.range_join_features):
+    for form in (windows.trailing_features_balanced, windows.range_join_features, partial(windows.trailing_features_by_size, hot_events=1)):
         assert [tuple(r) for r in form(events).orderBy("transaction_id").collect()] == want
 
 
@@ -87,6 +88,21 @@ def test_arrival_differs_only_where_times_tie(spark, generated):
     tied = {r["transaction_id"] for r in windows.tie_rank(generated).filter("tie_rank > 0").collect()}
     differ = {i for i in strict if strict[i]["txn_count_lifetime"] != seen[i]["txn_count_lifetime"]}
     assert differ == tied and tied
+    other = {r["transaction_id"]: r for r in windows.arrival_features(generated, form=partial(windows.trailing_features_by_size, hot_events=30)).collect()}
+    assert all(math.isclose(other[i][n], seen[i][n], rel_tol=1e-9, abs_tol=1e-6) for i in seen for n in spec.FEATURE_NAMES)
+
+
+@pytest.mark.parametrize("most", [0, windows.BROADCAST_CARDS])
+def test_cards_are_dealt_by_their_events(spark, monkeypatch, most):
+    monkeypatch.setattr(windows, "BROADCAST_CARDS", most)
+    taken = {}
+    for name in ("trailing_features", "trailing_features_balanced"):
+        made = getattr(windows, name)
+        monkeypatch.setattr(windows, name, lambda events, *a, name=name, made=made: taken.update({name: {r[0] for r in events.select("card_id").distinct().collect()}}) or made(events, *a))
+    t = 1_600_000_000
+    events = make(spark, [("a", t + i, i, "W") for i in range(5)] + [("b", t, 1, "W"), (None, t, 1, "W")])
+    assert windows.trailing_features_by_size(events, hot_events=4).count() == 7
+    assert taken == {"trailing_features": {"b", None}, "trailing_features_balanced": {"a"}}
 
 
 def test_empty_input_keeps_types(spark):
