@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import product
 
 from pyspark.ml import PipelineModel
@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.features import category_map, encode, top_contributions
+from millrace.operators import shapley
 from millrace.operators.dataset import chronological_split
 from millrace.operators.metrics import baselines, ranking_metrics
 from millrace.spec import MODEL_INPUTS
+from millrace.workers import reach
 
 MODEL_TYPES = ("gbt", "forest", "logistic")
 THRESHOLD = 0.5
@@ -61,6 +63,22 @@ def scorer(model: PipelineModel, maps: dict[str, list[str]]) -> Callable[[DataFr
     return run
 
 
+def tree_scorer(model: PipelineModel, maps: dict[str, list[str]]) -> Callable[[DataFrame], DataFrame]:
+    """As `scorer`, of trees, with each input's exact Shapley value: base and contributions add up to what `shapley` explains."""
+    found = shapley.leaves(model.stages[-1])
+
+    def run(df: DataFrame) -> DataFrame:
+        reach(df.sparkSession)
+        kept = F.struct(*df.columns).alias("_row")
+        scored = model.transform(encode(df.select("*", kept), maps))
+        parts = shapley.contributions(found, [F.col(c) for c in MODEL_INPUTS])
+        rows = scored.select("_row", vector_to_array("probability")[1].alias("score"), parts.alias("_parts"))
+        named = F.struct(*[F.get("_parts", F.lit(i)).alias(c) for i, c in enumerate(MODEL_INPUTS)])
+        return rows.select("_row.*", "score", F.lit(shapley.base(found)).alias("base"), named.alias("contributions"))
+
+    return run
+
+
 def linear_scorer(weights: dict[str, float], bias: float = 0.0, centre: dict[str, float] | None = None) -> Callable[[DataFrame], DataFrame]:
     """A logistic score of numeric inputs by fixed weights, with each input's contribution to its margin."""
     centre = centre or {}
@@ -75,9 +93,9 @@ def linear_scorer(weights: dict[str, float], bias: float = 0.0, centre: dict[str
     return run
 
 
-def explained(scored: DataFrame, weights: dict[str, float], k: int = 5) -> DataFrame:
-    """Rows of a linear score with their k largest contributions, which add up to the margin exactly."""
-    return scored.withColumn("top", top_contributions({n: F.col(f"contributions.{n}") for n in weights}, k))
+def explained(scored: DataFrame, inputs: Iterable[str], k: int = 5) -> DataFrame:
+    """Rows of a `linear_scorer` or a `tree_scorer` with their k largest contributions; all of them add up exactly."""
+    return scored.withColumn("top", top_contributions({n: F.col(f"contributions.{n}") for n in inputs}, k))
 
 
 def score(df: DataFrame, model: PipelineModel, maps: dict[str, list[str]], threshold: float = THRESHOLD) -> DataFrame:

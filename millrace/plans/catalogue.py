@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions import features as fx
 from millrace.operators import asof, dataset, drift, gates, metrics, model, parity, serving, store, windows
 from millrace.sources import events as source
-from millrace.spec import CATEGORICAL, DEFAULTS, FEATURE_NAMES, FEATURES, KEY_FEATURES, MONITORED, ONDEMAND, PRODUCTS, WINDOWS
+from millrace.spec import CATEGORICAL, DEFAULTS, FEATURE_NAMES, FEATURES, KEY_FEATURES, MODEL_INPUTS, MONITORED, ONDEMAND, PRODUCTS, WINDOWS
 from millrace.storage import checkpoint, drop, scratch
 from millrace.streaming import jobs, state
 
@@ -559,6 +559,18 @@ def model_scores(spark, sf_dir):
     return model.score(split.filter("split = 'test'"), fitted, maps).select("transaction_id", "is_fraud", "score", "flagged")
 
 
+@query("explain_trees")
+def explain_trees(spark, sf_dir):
+    """The three inputs that weigh most in each score of boosted trees, by exact Shapley values."""
+    split = dataset.chronological_split(dataset.training_set(events(spark, sf_dir)))
+    train = split.filter("split = 'train'")
+    maps = fx.category_map(train)
+    fitted = model.fit(train, maps, maxIter=5, maxDepth=3)
+    scored = model.tree_scorer(fitted, maps)(split.filter("split = 'test'"))
+    top = model.explained(scored, MODEL_INPUTS, 3).select("transaction_id", "score", F.explode("top").alias("t"))
+    return top.select("transaction_id", "score", "t.feature", "t.contribution")
+
+
 @query("inject_amount", f"WITH {_ev()} SELECT transaction_id, amount * 4.0 AS amount FROM ev")
 def inject_amount(spark, sf_dir):
     return drift.inject_shift(events(spark, sf_dir), "amount").select("transaction_id", "amount")
