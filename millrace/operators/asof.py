@@ -10,6 +10,8 @@ from millrace.spec import DEFAULTS, FEATURE_NAMES, FEATURES
 
 #: the table's time is cut into blocks of this length where a key's rows are dealt over tasks
 BLOCK_SECONDS = 86_400
+#: rows of a key, of both sides, from which a join takes the form in blocks
+HOT_ROWS = 500_000
 
 
 def _both_sides(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], created: str | None) -> DataFrame:
@@ -55,6 +57,14 @@ def asof_join_balanced(left: DataFrame, right: DataFrame, key: str, left_ts: str
     return _with_values(met.withColumn("_found", F.coalesce("_inside", "_carried")), right, values, ttl_seconds)
 
 
+def asof_join_by_size(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, values: list[str], created: str | None = None, ttl_seconds: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same rows, by the form that the largest key asks for; its rows are counted before anything moves."""
+    sizes = left.select(key).unionByName(right.select(key)).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    join = asof_join_balanced if most > hot_rows else asof_join
+    return join(left, right, key, left_ts, right_ts, values, created, ttl_seconds)
+
+
 def lost_rows(left: DataFrame, joined: DataFrame, id_column: str) -> DataFrame:
     """Rows of the left side that the join lost; a training set with any is refused."""
     return left.join(joined, id_column, "left_anti")

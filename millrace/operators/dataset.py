@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.features import calendar, ondemand
-from millrace.operators.asof import asof_join, lost_rows
+from millrace.operators.asof import asof_join_by_size, lost_rows
 from millrace.operators.ordered import quantiles
-from millrace.operators.windows import require, seconds, tie_rank, trailing_features
+from millrace.operators.windows import require, seconds, tie_rank, trailing_features_by_size
 from millrace.sources.events import cached_or_built
 from millrace.spec import FEATURE_NAMES, FEATURES, MODEL_INPUTS
 
@@ -17,7 +17,7 @@ TTL_SECONDS = 8 * 86400
 
 def feature_table(events: DataFrame) -> DataFrame:
     """The stored form: card, a timestamp that ties cannot share, created, and the features in the types of the spec."""
-    rows = tie_rank(trailing_features(events))
+    rows = tie_rank(trailing_features_by_size(events))
     typed = [F.col(f.name).cast(f.spark_type).alias(f.name) for f in FEATURES]
     return rows.select("card_id", F.col("unique_timestamp").alias("event_timestamp"), F.col("unique_timestamp").alias("created"), *typed)
 
@@ -25,7 +25,7 @@ def feature_table(events: DataFrame) -> DataFrame:
 def from_store(events: DataFrame, table: DataFrame, ttl_seconds: int | None = TTL_SECONDS) -> DataFrame:
     """Events with the stored features as of their own (untied) time."""
     entities = tie_rank(events).drop("tie_rank")
-    return asof_join(entities, table, "card_id", "unique_timestamp", "event_timestamp", FEATURE_NAMES, "created", ttl_seconds).drop("unique_timestamp")
+    return asof_join_by_size(entities, table, "card_id", "unique_timestamp", "event_timestamp", FEATURE_NAMES, "created", ttl_seconds).drop("unique_timestamp")
 
 
 def training_set(events: DataFrame, table: DataFrame | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def training_set(events: DataFrame, table: DataFrame | None = None) -> DataFrame
 
     A row's features are made where the row is; with a feature table they are joined as of its time."""
     require(events, "transaction_id", "card_id", "event_timestamp", "amount", "product_cd")
-    rows = trailing_features(events) if table is None else from_store(events, table)
+    rows = trailing_features_by_size(events) if table is None else from_store(events, table)
     full = rows.withColumns(ondemand() | calendar())
     require(full, *MODEL_INPUTS)
     return full.select("transaction_id", "card_id", "event_timestamp", "is_fraud", *MODEL_INPUTS)
@@ -94,8 +94,12 @@ def constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def no_dead_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    """df, if none of the columns is constant; else an error that names those that are."""
-    dead = [r["column"] for r in constant_columns(df, columns).filter("is_constant").orderBy("column").collect()]
+    """df, if none of the columns is constant; else an error that names those that are.
+
+    Least and largest values and a count of nulls tell, so that no distinct values move."""
+    stats = [F.struct(F.min(c).eqNullSafe(F.max(c)).alias("one"), F.count(c).alias("n")).alias(c) for c in columns]
+    found = df.agg(*stats, F.count(F.lit(1)).alias("_rows")).first()
+    dead = sorted(c for c in columns if found[c]["one"] and found[c]["n"] in (0, found["_rows"]))
     if dead:
         raise ValueError(f"constant columns: {dead}")
     return df

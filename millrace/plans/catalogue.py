@@ -146,6 +146,14 @@ def canonical_profile(spark, sf_dir):
     return source.profile(events(spark, sf_dir)).select("n_rows", "n_cards", _micros("first_ts").alias("first_us"), _micros("last_ts").alias("last_us"), "label_rate")
 
 
+@query("parquet_roundtrip", f"WITH {_ev()} SELECT {', '.join(_CANONICAL)}, us FROM ev")
+def parquet_roundtrip(spark, sf_dir):
+    """The event table as a Parquet sink writes it and the source reads it back."""
+    path = f"{scratch(spark)}/events"
+    source.write_events(events(spark, sf_dir), path)
+    return source.load_events(spark, path).select(*_CANONICAL, _micros().alias("us"))
+
+
 @query("raw_csv_canonical", """
 SELECT o_orderkey AS transaction_id, 'card_' || CAST(CASE WHEN o_custkey % 7 = 0 THEN -1 ELSE o_custkey END AS VARCHAR) AS card_id, 1512086400 + o_orderkey AS u, o_totalprice AS amount,
   CASE WHEN o_orderstatus IN ('W', 'C', 'R', 'H', 'S') THEN o_orderstatus ELSE 'W' END AS product_cd, CASE WHEN o_custkey % 5 = 0 THEN 'unknown' ELSE o_orderpriority END AS card_network
@@ -332,12 +340,32 @@ def asof_lost_rows(spark, sf_dir):
     return asof.lost_rows(rows, built, "transaction_id").agg(F.count(F.lit(1)).alias("n_lost"))
 
 
-@query("training_set", f"WITH {_ev()}, {_framed()} SELECT transaction_id, is_fraud, amount, addr1, dist1, CAST(hour(make_timestamp(us)) AS BIGINT) AS hour_of_day, CAST(isodow(make_timestamp(us)) - 1 AS BIGINT) AS day_of_week, {_settled([n for n in FEATURE_NAMES if n != 'last_txn_unixtime'] + ONDEMAND)}, {', '.join(CATEGORICAL)} FROM (SELECT *, {_ONDEMAND} FROM feat)")
+_TRAINING = f"WITH {_ev()}, {_framed()} SELECT transaction_id, is_fraud, amount, addr1, dist1, CAST(hour(make_timestamp(us)) AS BIGINT) AS hour_of_day, CAST(isodow(make_timestamp(us)) - 1 AS BIGINT) AS day_of_week, {_settled([n for n in FEATURE_NAMES if n != 'last_txn_unixtime'] + ONDEMAND)}, {', '.join(CATEGORICAL)} FROM (SELECT *, {_ONDEMAND} FROM feat)"
+
+
+@query("training_set", _TRAINING)
 def training_set(spark, sf_dir):
     built = dataset.training_set(events(spark, sf_dir)).drop("card_id", "event_timestamp")
     return _select(built, *built.columns)
 
 
+@query("training_set_sink", _TRAINING)
+def training_set_sink(spark, sf_dir):
+    """The training set as its sink writes it: checked for lost events, then read back; a second call does not build it again."""
+    path = f"{scratch(spark)}/training"
+    dataset.write_training_set(events(spark, sf_dir), path)
+    built = dataset.write_training_set(events(spark, sf_dir).limit(0), path).drop("card_id", "event_timestamp")
+    return _select(built, *built.columns)
+
+
+@query("label_csv", f"WITH {_ev()} SELECT is_fraud AS label, round(amount, 9) AS amount, product_cd FROM ev")
+def label_csv(spark, sf_dir):
+    """Headerless files with the label first, read back by position."""
+    path = f"{scratch(spark)}/labels"
+    gates.write_label_csv(events(spark, sf_dir), path, ["amount", "product_cd"])
+    return spark.read.csv(path, schema="label int, amount double, product_cd string").withColumn("amount", F.round("amount", 9))
+
+
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY card_id ORDER BY u DESC, transaction_id DESC) AS n FROM ev) WHERE n = 1"
 
 
@@ -543,12 +571,60 @@ def amount_baseline(spark, sf_dir):
     return _rounded(metrics.baselines(events(spark, sf_dir)).select("prevalence", "amount_ap"))
 
 
-@query("latency_percentiles", "SELECT " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 9) AS {n}" for n, q in metrics.PERCENTILES.items()) + ", round(avg(l_extendedprice), 4) AS mean, max(l_extendedprice) AS max, count(l_extendedprice) AS n FROM lineitem")
+_PERCENTILES = "SELECT " + ", ".join(f"round(quantile_cont(l_extendedprice, {q}), 9) AS {n}" for n, q in metrics.PERCENTILES.items()) + ", round(avg(l_extendedprice), 4) AS mean, max(l_extendedprice) AS max, count(l_extendedprice) AS n FROM lineitem"
+
+
+@query("latency_percentiles", _PERCENTILES)
 def latency_percentiles(spark, sf_dir):
     found = metrics.latency_profile(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_extendedprice")
     return found.select(*[F.round(n, 9).alias(n) for n in metrics.PERCENTILES], F.round("mean", 4).alias("mean"), "max", "n")
 
 
+@query("pooled_percentiles", _PERCENTILES)
+def pooled_percentiles(spark, sf_dir):
+    """Samples of seven parts of unequal size, pooled."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", "l_extendedprice")
+    parts = [rows.filter(F.col("l_linenumber") == i).select("l_extendedprice") for i in range(1, 7)] + [rows.filter("l_linenumber > 6").select("l_extendedprice")]
+    found = metrics.merged_latency(parts, "l_extendedprice")
+    return found.select(*[F.round(n, 9).alias(n) for n in metrics.PERCENTILES], F.round("mean", 4).alias("mean"), "max", "n")
+
+
+_COIN = "CAST('0x' || substr(md5('42/' || CAST(transaction_id AS VARCHAR)), 1, {n}) AS BIGINT)"
+
+
+@query("random_baseline", f"WITH {_ev(name='seen')}, ev AS (SELECT *, {_COIN.format(n=12)} AS noise FROM seen), {_curve_sql('noise')} SELECT round(sum(tp / p * prec), 9) AS random_ap FROM pr")
+def random_baseline(spark, sf_dir):
+    """Average precision of a seeded random score."""
+    return _rounded(metrics.baselines(events(spark, sf_dir)).select("random_ap"))
+
+
+@query("disjoint_halves", f"WITH {_ev()} SELECT transaction_id, {_COIN.format(n=8)} % 2 AS half FROM ev")
+def disjoint_halves(spark, sf_dir):
+    first, second = drift.halves(events(spark, sf_dir))
+    return first.select("transaction_id", F.lit(0).cast("long").alias("half")).unionByName(second.select("transaction_id", F.lit(1).cast("long").alias("half")))
+
+
+@query("validated_requests", """SELECT n_nationkey AS transaction_id, CASE WHEN n_nationkey % 5 = 0 THEN 'missing card' WHEN n_nationkey % 3 = 0 THEN 'bad amount' WHEN n_nationkey % 7 NOT IN (0) AND n_nationkey % 7 * 5 > 20 THEN 'bad top_k' END AS reject FROM nation""")
+def validated_requests(spark, sf_dir):
+    """A batch of requests with a missing card, a negative or missing amount, and a top_k out of bounds or left out."""
+    k = F.col("n_nationkey")
+    asked = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        k.cast("long").alias("transaction_id"), F.when(k % 5 != 0, F.concat(F.lit("card_"), k.cast("string"))).alias("card_id"),
+        F.when(k % 3 != 0, k.cast("double")).when(k % 2 == 0, -1.0).alias("amount"), F.when(k % 7 != 0, k % 7 * 5).cast("int").alias("top_k"),
+    )
+    return gates.validated_requests(asked).select("transaction_id", "reject")
+
+
+@query("json_report", "SELECT n_regionkey AS region, CASE WHEN n_regionkey % 2 = 0 THEN CAST(count(*) AS DOUBLE) END AS share FROM nation GROUP BY 1")
+def json_report(spark, sf_dir):
+    """A report with values that JSON lacks, read back: NaN and infinities are null."""
+    path = f"{scratch(spark)}/report"
+    found = spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.count(F.lit(1)).cast("double").alias("n")).collect()
+    odd = {1: float("nan"), 3: float("inf")}
+    gates.write_report(spark, [{"region": r["n_regionkey"], "share": odd.get(r["n_regionkey"], r["n"])} for r in found], path)
+    return spark.read.schema("region long, share double").json(path)
+
+
 @query("model_scores")
 def model_scores(spark, sf_dir):
     """Boosted trees fitted on the first slice in time score the last one."""

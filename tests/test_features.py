@@ -47,7 +47,7 @@ def test_top_contributions(spark):
     assert [(x["feature"], x["contribution"]) for x in got] == [("b", -3.0), ("c", 2.0)]
 
 
-@pytest.mark.parametrize("join", [asof.asof_join, partial(asof.asof_join_balanced, block_seconds=70), asof.asof_join_balanced])
+@pytest.mark.parametrize("join", [asof.asof_join, partial(asof.asof_join_balanced, block_seconds=70), asof.asof_join_balanced, asof.asof_join_by_size, partial(asof.asof_join_by_size, hot_rows=4)])
 def test_asof_ties_ttl_and_no_lost_rows(spark, join):
     left = spark.createDataFrame([(1, "a", 100), (2, "a", 50), (3, "b", 100), (4, "a", 1000)], "id int, k string, t long").withColumn("ts", F.timestamp_seconds("t"))
     right = spark.createDataFrame([("a", 60, 1, 1.0), ("a", 60, 2, 2.0), ("a", 100, 1, 3.0)], "k string, t long, c long, v double").select("k", F.timestamp_seconds("t").alias("at"), F.timestamp_seconds("c").alias("created"), "v")
@@ -57,6 +57,17 @@ def test_asof_ties_ttl_and_no_lost_rows(spark, join):
     assert early == {1: 2.0, 3: None}
 
 
+@pytest.mark.parametrize(("most", "form"), [(3, "asof_join_balanced"), (4, "asof_join")])
+def test_the_largest_key_decides_the_form(spark, monkeypatch, most, form):
+    taken = []
+    for name in ("asof_join", "asof_join_balanced"):
+        monkeypatch.setattr(asof, name, lambda left, *a, name=name: taken.append(name) or left)
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (None, 1)], "k string, t long")
+    asof.asof_join_by_size(rows, rows, "k", "t", "t", ["t"], hot_rows=most)
+    asof.asof_join_by_size(rows.limit(0), rows.limit(0), "k", "t", "t", ["t"], hot_rows=most)
+    assert taken == [form, "asof_join"]
+
+
 @pytest.mark.parametrize("block", [1, 30, 10_000])
 def test_asof_forms_agree_with_brute_force(spark, block):
     rng = random.Random(block)
@@ -165,3 +176,13 @@ def test_model_fit_score_save_load(spark, events, tmp_path):
     assert meta["categories"] == maps and model.importance(again)[0][1] >= 0
     with pytest.raises(ValueError, match="model type"):
         model.fit(train, maps, "guess")
+
+
+def test_dead_columns_are_found_without_distinct_values(spark):
+    rows = [(1, None, "x", None, 0.5), (1, None, "x", 2, float("nan")), (1, None, "y", 2, 0.5)]
+    df = spark.createDataFrame(rows, "a int, b string, c string, d int, e double")
+    known = {r["column"] for r in dataset.constant_columns(df, df.columns).filter("is_constant").collect()}
+    with pytest.raises(ValueError) as found:
+        dataset.no_dead_columns(df, df.columns)
+    assert known == {"a", "b"} and "['a', 'b']" in str(found.value)
+    assert dataset.no_dead_columns(df, ["c", "d", "e"]) is df
