@@ -52,7 +52,7 @@ LENGTH = 50
 #: bytes of a trigger at each level
 TRIGGERS = (12, 24, 37, 50)
 #: bytes of text whose phrases are combined before they move, and whose phrases make one bucket
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 #: bytes of text whose answers and documents meet in one bucket
 DOCUMENT_BYTES = 32 << 20
@@ -244,25 +244,32 @@ def _ranges(p: Phrases, again: np.ndarray) -> tuple[np.ndarray, ...]:
     return p.doc[row], p.text[row], p.place[row] - (again.shape[1] - 1) + begin, end - begin - 1
 
 
-def combine(p: Phrases, n_buckets: int, n_docs: int) -> Iterator[pa.RecordBatch]:
-    """Each phrase of its smallest document by bucket; what other documents have of it is answered."""
-    p = p.take(np.lexsort((p.place, p.text, p.doc, p.hash)))
-    same = np.zeros(len(p), bool)
-    same[1:] = ~_starts(p.hash, p.low, p.high)[1:]
+def combine(parts: list[Phrases], n_buckets: int, n_docs: int) -> Iterator[pa.RecordBatch]:
+    """Each phrase of its smallest document by bucket; what other documents have of it is answered.  The list of parts is emptied."""
+    p = Phrases.join(parts)
+    parts.clear()
+    order = np.lexsort((p.place, p.text, p.doc, p.hash))
+    doc, text, place, low, high, hashed = (getattr(p, n)[order] for n in ("doc", "text", "place", "low", "high", "hash"))
+    same = np.zeros(len(order), bool)
+    same[1:] = ~_starts(hashed, low, high)[1:]
     maybe = np.flatnonzero(same)
-    same[maybe] = (p.body[maybe] == p.body[maybe - 1]).all(axis=1)
-    again = p.doc != _first(~same, p.doc)
-    twice = np.zeros(len(p), bool)
-    twice[1:] = same[1:] & ~_starts(p.doc, p.text, p.place)[1:]
+    for x in range(0, len(maybe), 1 << 15):
+        some = maybe[x : x + (1 << 15)]
+        same[some] = (p.body[order[some]] == p.body[order[some - 1]]).all(axis=1)
+    again = doc != _first(~same, doc)
+    twice = np.zeros(len(order), bool)
+    twice[1:] = same[1:] & ~_starts(doc, text, place)[1:]
     if again.any():
         q = again & ~twice
-        high, low = p.high[q].astype(np.int64), p.low[q].astype(np.int64)
-        yield _replies(p.doc[q], p.text[q], p.place[q] - high, high - low, n_docs)
-    p = p.take(~again & ~twice)
-    p = p.take(np.argsort(p.bucket_hash, kind="stable"))
+        top, least = high[q].astype(np.int64), low[q].astype(np.int64)
+        yield _replies(doc[q], text[q], place[q] - top, top - least, n_docs)
+    kept = order[~again & ~twice]
+    p = p.take(kept[np.argsort(p.bucket_hash[kept], kind="stable")])
+    del doc, text, place, low, high, hashed, order, kept, same, again, twice
     inside = p.inside()
     data = p.body[inside]
     at = np.concatenate(([0], np.cumsum(inside.sum(axis=1))))
+    del inside
     fixed = _matrix(_ENTRY, {n: getattr(p, n) for _, n in _ENTRY})
     found = [(b, pack(fixed[x:y], data[at[x] : at[y]].tobytes())) for b, x, y in runs(deal(p.bucket_hash, n_buckets))]
     yield _rows(p.level, [b for b, _ in found], [x for _, x in found])
@@ -281,11 +288,12 @@ def _parse_texts(n_buckets: int, n_docs: int):
                 found.doc, found.text, found.place = ids[row[number]], hashes[row[number]], found.place + start[number]
                 held.append(found)
                 size += len(part)
+                del found
                 if size >= BATCH_BYTES:
-                    whole, held, size = Phrases.join(held), [], 0
-                    yield from combine(whole, n_buckets, n_docs)
+                    size = 0
+                    yield from combine(held, n_buckets, n_docs)
         if held:
-            yield from combine(Phrases.join(held), n_buckets, n_docs)
+            yield from combine(held, n_buckets, n_docs)
 
     return run
 
@@ -379,7 +387,7 @@ def _meet(level: int, n_buckets: int, n_docs: int):
 
     def deeper(p: Phrases) -> Iterator[pa.RecordBatch]:
         if len(p):
-            yield from combine(split(p), n_buckets, n_docs)
+            yield from combine([split(p)], n_buckets, n_docs)
 
     def bucket_of(blobs: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         known: list[Phrases] = []
