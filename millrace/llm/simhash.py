@@ -12,6 +12,14 @@ left out: radius + 1 blocks of them, of which one at least is equal in both of a
 bucket whose open bits are so few that it cannot hold more than GROUP_ROWS classes ends this,
 so no group is unbounded and none is cut off.
 
+Similarities that 64 bits and a small radius cannot tell (a set similarity of 0.8 is one bit in
+seven) take wide fingerprints, `wide_prints`: WIDE bits over the different shingles.  Each of TABLES
+tables is keyed by KEY_BITS of them; two texts of similarity 0.8 miss all tables with a probability
+of 1.4 in a million (random bits; that of two texts of 4 and 5 shingles, the worst, is 1.2 in a
+hundred thousand, as texts of up to SMALL shingles have SMALL_TABLES more).  `close_edges` links what meets
+in a table and differs in NEAR_BITS of CLOSE_BITS or fewer, which such a pair exceeds once in some
+ten million.  What links is to be verified by the caller; nothing is cut off.
+
 Nulls: a null text has no words (fingerprint zero).  A null doc_id keeps its fingerprint and
 takes the component of its class, or null if no row of the class has an id.  Repeated rows stay.
 """
@@ -27,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import read_table, trimmed
+from millrace.llm.common import mix, read_table, trimmed
 from millrace.storage import checkpoint
 
 BITS = 64
@@ -35,6 +43,17 @@ GROUP_ROWS = 1024
 SEED = 42
 #: shingles whose bits are unpacked at once
 BLOCK = 1 << 15
+WIDE = 1024
+TABLES, KEY_BITS = 160, 14
+SMALL, SMALL_TABLES = 20, 96
+#: bits compared in a bucket; the last byte of their words holds a class of the number of shingles
+CLOSE_BITS, NEAR_BITS = 184, 58
+#: sets of a similarity of 0.8 are at most five such classes apart
+CLASS_STEP, CLASS_REACH = 1.05, 5
+#: a bucket of more rows is searched row by row instead of by all pairs at once
+PAIRED_ROWS = 64
+_LANES = np.random.default_rng(20250302).integers(1, 1 << 63, WIDE // 64, dtype=np.uint64)
+_PICKED = np.array([np.random.default_rng(i).choice(WIDE, KEY_BITS, replace=False) for i in range(TABLES + SMALL_TABLES)])
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -74,6 +93,129 @@ def with_fingerprints(rows: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.mapInArrow(trimmed(each), schema).toDF(*rows.columns, "fp")
 
 
+def wide_prints(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The SimHash words of sets of shingle hashes that stand one after another, `size` of each (none is empty).
+
+    A bit is set if it is in over half of a set's hashes.  Bits are counted eight at a time, in bytes of a word."""
+    ends = np.cumsum(size)
+    parts = -(-size // 255)
+    first = np.cumsum(parts) - parts
+    cuts = np.repeat(ends - size, parts) + (np.arange(parts.sum()) - np.repeat(first, parts)) * 255
+    out = np.zeros((len(size), WIDE // 64), np.uint64)
+    if not len(size):
+        return out
+    low = np.uint64(0x0101010101010101)
+    for lane, salt in enumerate(_LANES):
+        bits = mix(grams + salt)
+        votes = np.empty((len(size), 8, 8), np.int64)
+        for i in range(8):
+            counts = np.add.reduceat((bits >> np.uint64(i)) & low, cuts).view(np.uint8).reshape(-1, 8)
+            votes[:, :, i] = counts if len(counts) == len(size) else np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+        over = votes.reshape(len(size), 64) * 2 > size[:, None]
+        out[:, lane] = np.packbits(over, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def table_keys(prints: np.ndarray) -> np.ndarray:
+    """The key in each table, of the tables of small sets too; the table's number is above KEY_BITS."""
+    bits = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+    keys = np.tile(np.arange(len(_PICKED), dtype=np.int64) << KEY_BITS, (len(prints), 1))
+    for i in range(KEY_BITS):
+        keys |= bits[:, _PICKED[:, i]].astype(np.int64) << i
+    return keys
+
+
+def _table_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, a, b, c) of (node, print, size), a row for each table."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            prints = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint64).reshape(-1, WIDE // 64)
+            node, size = some.column(0).to_numpy(), some.column(2).to_numpy()
+            keys = table_keys(prints)
+            words = prints[:, :3].copy()
+            step = np.minimum(np.log(size) / np.log(CLASS_STEP), 255).astype(np.uint64)
+            words[:, 2] = (words[:, 2] & np.uint64((1 << 56) - 1)) | (step << np.uint64(56))
+            row, table = np.nonzero((np.arange(keys.shape[1]) < TABLES) | (size <= SMALL)[:, None])
+            columns = [keys[row, table], node[row], *(words[row, i].view(np.int64) for i in range(3))]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["key", "node", "a", "b", "c"])
+
+
+def _close(words: np.ndarray, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+    """Whether rows x and y of the words are alike in bits and in size."""
+    other = words[2][x] ^ words[2][y]
+    apart = (words[2][x] >> np.uint64(56)).astype(np.int64) - (words[2][y] >> np.uint64(56)).astype(np.int64)
+    bits = np.bitwise_count(words[0][x] ^ words[0][y]).astype(np.int64) + np.bitwise_count(words[1][x] ^ words[1][y]) + np.bitwise_count(other << np.uint64(8))
+    return (bits <= NEAR_BITS) & (np.abs(apart) <= CLASS_REACH)
+
+
+def _bucket_edges(key: np.ndarray, node: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least node, node) of each component of what is close within a run of equal keys."""
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    least = node.copy()
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    end = np.repeat(start + size, size)
+    at = np.flatnonzero(np.repeat(size <= PAIRED_ROWS, size))
+    for shift in range(1, PAIRED_ROWS):
+        at = at[at + shift < end[at]]
+        if not len(at):
+            break
+        near = at[_close(words, at, at + shift)]
+        xs.append(near)
+        ys.append(near + shift)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    while (apart := least[x] != least[y]).any():
+        both = np.minimum(least[x[apart]], least[y[apart]])
+        np.minimum.at(least, x[apart], both)
+        np.minimum.at(least, y[apart], both)
+    for a, n in zip(start[size > PAIRED_ROWS].tolist(), size[size > PAIRED_ROWS].tolist(), strict=True):
+        todo = np.arange(a, a + n)
+        while len(todo):
+            front, todo = [int(todo[0])], todo[1:]
+            reached = list(front)
+            while front and len(todo):
+                near = _close(words, front.pop(), todo)
+                found, todo = todo[near].tolist(), todo[~near]
+                front += found
+                reached += found
+            least[reached] = node[reached].min()
+    other = least != node
+    return least[other], node[other]
+
+
+def _close_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, a, b, c) come sorted by key."""
+    held = [np.zeros(0, np.int64)] * 5
+
+    def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
+        u, v = _bucket_edges(cols[0], cols[1], np.stack(cols[2:]).view(np.uint64))
+        return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    for batch in batches:
+        cols = [np.concatenate((h, batch.column(i).to_numpy())) for i, h in enumerate(held)]
+        if not len(cols[0]):
+            continue
+        last = int(np.searchsorted(cols[0], cols[0][-1]))
+        held = [c[last:] for c in cols]
+        if last:
+            yield edges([c[:last] for c in cols])
+    if len(held[0]):
+        yield edges(held)
+
+
+def close_edges(classes: DataFrame) -> DataFrame:
+    """Edges (u, v), u < v, whose components hold all pairs that meet in a table and are close.
+
+    A node has one edge of a table at most, to the least of its bucket's component; these are joined among themselves
+    before, so that the edges are few in large groups too.
+    classes has one row (node, print, size) for each set of shingles: its wide print and how many it has."""
+    rows = classes.select("node", "print", F.col("size").cast("long")).mapInArrow(trimmed(_table_rows), "key long, node long, a long, b long, c long")
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(trimmed(_close_groups), "u long, v long")
+    stars = met.groupBy("v").agg(F.collect_set("u").alias("others")).select(F.array_min("others").alias("u"), F.explode(F.concat("others", F.array("v"))).alias("v"))
+    return stars.filter("u <> v").distinct()
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -100,3 +101,55 @@ def test_query_on_small_table(spark, sf):
     ids = texts.doc_id.to_numpy()
     assert got.component_id.tolist() == [ids[i] for i in components(want, 3)]
     assert np.all(got.component_id <= got.doc_id)
+
+
+def test_wide_prints_by_their_definition():
+    """A bit is set if it is in over half of the hashes, also of sets of more than 255; ties are not."""
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (1, 2, 4, 255, 256, 700, 5)]
+    got = simhash.wide_prints(np.concatenate(sets), np.array([len(s) for s in sets]))
+    for own, row in zip(sets, got, strict=True):
+        for lane, salt in enumerate(simhash._LANES):
+            bits = np.unpackbits(simhash.mix(own + salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            assert np.array_equal(np.unpackbits(row[lane : lane + 1].view(np.uint8), bitorder="little"), bits * 2 > len(own))
+    assert simhash.wide_prints(np.zeros(0, np.uint64), np.zeros(0, np.int64)).shape == (0, 16)
+
+
+def test_wide_prints_of_similar_sets_meet_and_are_close():
+    """Sets of a similarity of exactly 0.8, of 4 to 5,000 hashes: one inside the other, and of equal size."""
+    rng = np.random.default_rng(4)
+    for both, one, other in [(4, 0, 1)] * 300 + [(8, 1, 1)] * 300 + [(80, 0, 20)] * 100 + [(80, 10, 10)] * 100 + [(4000, 500, 500)] * 20:
+        h = rng.integers(0, 1 << 63, both + one + other, dtype=np.uint64)
+        sets = [h[: both + one], np.concatenate((h[:both], h[both + one :]))]
+        prints = simhash.wide_prints(np.concatenate(sets), np.array([len(s) for s in sets]))
+        batch = pa.record_batch([pa.array([0, 1]), pa.array([p.tobytes() for p in prints], pa.binary()), pa.array([len(s) for s in sets])], names=["node", "print", "size"])
+        table = pa.Table.from_batches(simhash._table_rows(iter([batch]))).sort_by("key")
+        edges = pa.Table.from_batches(simhash._close_groups(iter(table.combine_chunks().to_batches())))
+        assert {tuple(e.values()) for e in edges.to_pylist()} == {(0, 1)}
+
+
+@pytest.mark.parametrize("paired", [2, 64])
+def test_buckets_of_any_size_give_the_same_components(monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED_ROWS", paired)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (4, 3), dtype=np.uint64) & np.uint64((1 << 56) - 1)
+    words = np.repeat(base, 10, axis=0) ^ (np.uint64(1) << rng.integers(0, 56, (40, 3), dtype=np.uint64))
+    order = rng.permutation(40)
+    u, v = simhash._bucket_edges(np.zeros(40, np.int64), order, np.ascontiguousarray(words[order].T))
+    root = list(range(40))
+    for _ in range(40):
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == [i // 10 * 10 for i in range(40)]
+
+
+def test_edges_of_a_large_group_are_few(spark):
+    """600 near copies meet in most tables; their edges do not grow with the pairs."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.concatenate((base, rng.integers(0, 1 << 63, 2, dtype=np.uint64))) for _ in range(600)]
+    prints = simhash.wide_prints(np.concatenate(sets), np.full(600, 202))
+    classes = spark.createDataFrame([(i, bytearray(p.tobytes()), 202) for i, p in enumerate(prints)], "node long, print binary, size long")
+    edges = simhash.close_edges(classes)
+    assert edges.count() < 1200
+    assert {tuple(r) for r in simhash.connected_components(edges).collect()} == {(i, 0) for i in range(600)}
