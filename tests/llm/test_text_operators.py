@@ -278,6 +278,33 @@ def test_merging_and_proposals_agree_on_all_short_words(own):
     assert 0 < failed < len(texts)  # both ways are taken
 
 
+def test_short_words_are_merged_together(library, own, monkeypatch):
+    """Words of all lengths, at the edges of the matrices too, get the library's ids; none of 64 bytes or less is merged by itself."""
+    rng = random.Random(9)
+    texts = {"".join(rng.choice(letters) for _ in range(n)) for n in range(1, 65) for letters in ("aab", "thesinrdoa", "xq") for _ in range(8)}
+    alone = []
+    monkeypatch.setattr(own, "cache", {})
+    monkeypatch.setattr(own, "merge", lambda word: alone.append(word) or [0])
+    monkeypatch.setattr(bpe, "MATRIX_WORDS", 100)
+    own.learn(texts)
+    assert not alone and all(np.frombuffer(own.cache[t], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
+    own.learn({"x" * 65})
+    assert alone == [b"x" * 65]
+    monkeypatch.setattr(own, "of_byte", np.where(np.arange(256) == ord("q"), -1, own.of_byte))
+    with pytest.raises(KeyError):
+        own.merge_all([b"xxqxq"], 8)
+
+
+def test_a_full_cache_keeps_the_words_at_hand(own, monkeypatch):
+    monkeypatch.setattr(own, "cache", {})
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    own.encode(["one two three four five"])
+    learned = []
+    monkeypatch.setattr(own, "learn", lambda words: learned.extend(sorted(words)) or own.cache.update(dict.fromkeys(words, b"")))
+    own.encode(["one two six"])
+    assert learned == [" six"] and sorted(own.cache) == [" six", " two", "one"]
+
+
 def test_very_long_words(library, own):
     for text in ("a" * 3000, "ab" * 2000, "thethe" * 900, " " * 999 + "x"):
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
